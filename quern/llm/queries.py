@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, sharding
+from . import licenses, minhash, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,34 @@ def op8_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"), path=path)
 
 
+def op10_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_licenses": op8_licenses,
+    "op10_minhash": op10_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+#: Blanks are 0x20 and 0x09 to 0x0D; components by recursion over links.
+OP10_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+raw AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM docs),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM raw),
+items AS (SELECT doc_id, unnest(s) AS x FROM raw),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM common JOIN sizes p ON p.doc_id = u JOIN sizes q ON q.doc_id = v WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT reach.a, edges.v FROM reach JOIN edges ON reach.b = edges.u),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN comp USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op10_minhash": OP10_SQL}
