@@ -24,6 +24,8 @@ like any other; an empty table gives an empty result; reruns agree. Only
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,6 @@ from .support import Scratch, md5_long, prefix_offsets
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 N_SLOTS = 1 << 19
-DOCS_A_BUCKET = 4096
 SLOTS_A_CHUNK = 4096
 GRID = 1024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,7 +69,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
 
 def laid_out(sizes: DataFrame, n_docs: int, seed: int = 0) -> DataFrame:
     """Rows with ``start``: words of the source's shuffled line before this document."""
-    buckets = max(1, n_docs // DOCS_A_BUCKET)
+    buckets = max(1, isqrt(n_docs))  # as many buckets as documents a bucket
     rows = sizes.withColumn("_h", md5_long(F.lit(seed), F.col("doc_id"))).withColumn("_b", F.pmod("_h", F.lit(buckets)))
     keys = ["rank", "_b"]
     w = Window.partitionBy(*keys).orderBy("_h", "doc_id", "key").rowsBetween(Window.unboundedPreceding, -1)
