@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, sharding
+from . import licenses, minhash, mixing, sharding, suffixdedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,16 @@ def op8_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"), path=path)
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
 QUERIES = {
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_licenses": op8_licenses,

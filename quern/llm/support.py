@@ -98,3 +98,23 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         if (seen["n"], seen["h"]) == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
         mark = (seen["n"], seen["h"])
+
+
+#: Bits of a key filter; its broadcast is 128 KB whatever the number of keys.
+FILTER_BITS = 1 << 20
+
+
+def key_filter(keys: DataFrame, key: str) -> Column:
+    """A predicate that all rows with a key of ``keys`` pass, and few others while keys are fewer than bits.
+
+    A one-hash Bloom filter of fixed size. With more keys it passes more rows,
+    and in the end all: it saves shuffling, and a join must follow.
+    """
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
+    words = keys.select(F.shiftright(bit, 6).alias("w"), F.expr("1L").alias("one"), F.pmod(bit, F.lit(64)).cast("int").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.col("one"), F.col("b"))).alias("v")).collect()
+    have = {r["w"]: r["v"] for r in words}  # FILTER_BITS / 64 rows at most
+    text = ",".join(str(have.get(i, 0)) for i in range(FILTER_BITS // 64))
+    table = F.split(F.lit(text), ",").cast("array<bigint>")
+    word = F.get(table, F.shiftright(bit, 6).cast("int"))
+    return F.getbit(word, F.pmod(bit, F.lit(64)).cast("int")) == 1
