@@ -30,6 +30,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .support import Scratch, salted_join
+
 #: Short public notices of common licenses.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -51,7 +53,6 @@ TEMPLATES = (
 MARKERS = ("licens",)
 MIN_COSINE = 0.7
 FILE_SHARE = 0.5
-SALTS = 64
 #: What parts words; applied to lower-cased lines.
 GAP = r"[^a-z0-9]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -143,8 +144,6 @@ def scan(files: DataFrame, key: str = "doc_id", path: Column | None = None) -> D
 
     ``path`` is an expression over ``files``, by default its column ``path``.
     """
-    from .support import Scratch
-
     scratch = Scratch(files.sparkSession, "licenses")
     rows = files.select(F.col(key).alias("key"), F.col("text"), (F.col("path") if path is None else path).alias("path"))
     rows = scratch.save(own_licenses(rows).drop("text").withColumn("dir", directory(F.col("path"))))
@@ -153,9 +152,7 @@ def scan(files: DataFrame, key: str = "doc_id", path: Column | None = None) -> D
     dirs = rows.where("dir is not null").select("dir").distinct()
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("above")))).alias("a")).select("dir", "a.*").distinct()
     near = above.join(given, "above").groupBy("dir").agg(F.max(F.struct("depth", F.col("g.path").alias("path"), F.col("g.own_license").alias("lic"))).alias("near"))
-    # A directory may hold a third of all files: its rows are dealt out by a salt, and each directory's license by all salts.
-    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key", "path"), F.lit(SALTS)).cast("int")).join(near, ["dir", "salt"], "left")
+    rows = salted_join(rows, near, "dir", F.struct("key", "path"))
     return rows.select(
         F.col("key").alias(key), "path", "own_license", "score", "n_license_lines", "is_license_file",
         F.coalesce("own_license", F.col("near.lic")).alias("license"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, sharding, suffixdedup
+from . import embed_dedup, licenses, minhash, mixing, sharding, suffixdedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_suffix_dedup(spark, sf_dir):
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_embedding_dedup(spark, sf_dir):
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_licenses": op8_licenses,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_minhash": op10_minhash,
 }
 
@@ -62,4 +67,17 @@ comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN comp USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op10_minhash": OP10_SQL}
+OP9_SQL = """
+WITH RECURSIVE vecs AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+sound AS (
+  SELECT * FROM vecs WHERE label IS NOT NULL AND len(v) > 0 AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM vecs UNION SELECT reach.a, links.v FROM reach JOIN links ON reach.b = links.u),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT u AS vec_id, count(*) AS n_links FROM links GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)
+"""
+
+ORACLES: dict[str, str] = {"op9_embedding_dedup": OP9_SQL, "op10_minhash": OP10_SQL}

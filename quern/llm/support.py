@@ -69,7 +69,8 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each points nodes at the least
     neighbour they know, so that star-shaped links settle in two rounds. The
-    least node of a component names it. Nodes without links are not returned.
+    least node of a component names it and is a row too. Nodes without links are
+    not returned.
     """
     e = scratch.save(
         links.where("u <> v")
@@ -96,7 +97,8 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         scratch.drop(e)
         e = nxt
         if (seen["n"], seen["h"]) == mark:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
+            heads = e.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component_id")).unionByName(heads)
         mark = (seen["n"], seen["h"])
 
 
@@ -118,3 +120,14 @@ def key_filter(keys: DataFrame, key: str) -> Column:
     table = F.split(F.lit(text), ",").cast("array<bigint>")
     word = F.get(table, F.shiftright(bit, 6).cast("int"))
     return F.getbit(word, F.pmod(bit, F.lit(64)).cast("int")) == 1
+
+
+SALTS = 64
+
+
+def salted_join(rows: DataFrame, few: DataFrame, on: str, spread: Column, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``few``, which has one row a key. A key may hold a third of ``rows``:
+    they are dealt out by a salt made of ``spread``, and ``few`` is repeated for each salt."""
+    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return rows.join(few, [on, "_salt"], how).drop("_salt")
