@@ -17,9 +17,13 @@ A byte goes if a ``length``-byte string covers it that also starts anywhere else
    be added to a kept index.
 3. Long matches. An (h, c) that occurs twice: all windows of those suffixes
    repeat. An h with several c: the suffixes agree in their gram but not in all
-   of their windows (near copies, common passages). Only for one suffix of each
-   such (h, c) are the windows themselves fingerprinted and counted by (h,
-   fingerprint), which spreads the hottest passage over all tasks.
+   of their windows (near copies, common passages). For one suffix of each such
+   (h, c), its windows are split in runs of ``RUN`` by their distance from the
+   gram; a run's core is what all its windows share. Runs are matched like
+   suffixes, by core and by all bytes, and only of runs that share a core but
+   not all bytes are the windows themselves fingerprinted and counted by (h,
+   fingerprint). All keys are hashes of longer and longer strings, so the
+   hottest passage spreads over all tasks.
 4. The windows that repeat are laid over their documents and merged to spans.
 
 Documents without a repeat never leave their scan but for ids and digests; the
@@ -43,7 +47,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .support import Scratch, key_filter
 
-LENGTH, GRAM, BATCHES = 400, 64, 4
+LENGTH, GRAM, RUN, BATCHES = 400, 64, 32, 4
 #: Bytes hashed at a time; a gram's place must fit in the low bits of its rank.
 SEGMENT_BITS = 20
 OTHER_BASE = 0xD1342543DE82EF95
@@ -61,7 +65,8 @@ def segments(at: np.ndarray, length: int):
 
 
 def suffixes(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Arrays (row, start, windows, h, c) of the kept suffixes; start counts from the row's first byte."""
+    """Arrays (row, at, h, c) of the kept suffixes; ``at`` packs the first window (from the
+    row's first byte), the number of windows, and the gram's distance from the first window."""
     found = []
     shift = K.U64(SEGMENT_BITS)
     for i, j, lo, hi in segments(at, length):
@@ -99,10 +104,10 @@ def suffixes(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
         c = (h2[b] - h2[a]) * K.powers(n + 1, OTHER_BASE)[1][a]
         c = K.mix64(c + offset.astype(K.U64) * K.U64(0x9FB21C651E98DF25) + (stop - first).astype(K.U64) * K.U64(0xA24BAED4963EE407))
         row = np.searchsorted(at, first + lo, "right") - 1
-        found.append((row, first + lo - at[row], stop - first, g[place[first]], c))
+        found.append((row, (first + lo - at[row]) << 18 | (stop - first) << 9 | offset, g[place[first]], c))
     if not found:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.view(K.U64), z.view(K.U64)
+        return z, z, z.view(K.U64), z.view(K.U64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -112,28 +117,66 @@ def window_prints(data: np.ndarray, start: int, windows: int, length: int = LENG
     return K.mix64((h[length:] - h[:-length]) * K.powers(len(h), OTHER_BASE)[1][:windows])
 
 
+def window_runs(data: np.ndarray, start: int, windows: int, offset: int, length: int = LENGTH):
+    """Arrays (q, first window, windows, core, full) of a suffix's runs: windows that begin q * RUN to q * RUN + RUN - 1 bytes before its gram."""
+    lo, place = start, start + offset
+    q = np.arange((offset - windows + 1) // RUN, offset // RUN + 1)
+    first = np.maximum(place - q * RUN - RUN + 1, start)
+    last = np.minimum(place - q * RUN, start + windows - 1)
+    h = K.prefix_hash(data[lo : start + windows + length - 1], OTHER_BASE)
+    inverse = K.powers(len(h), OTHER_BASE)[1]
+    a, b = place - q * RUN - lo, place - q * RUN - RUN + 1 + length - lo
+    core = K.mix64((h[b] - h[a]) * inverse[a])
+    full = K.mix64((h[last + length - lo] - h[first - lo]) * inverse[first - lo] + ((place - first) << 9 | (last - first)).astype(K.U64))
+    return q, first, last - first + 1, core, full
+
+
 def _suffixes(length: int, gram: int):
     def run(batches):
         for batch in batches:
             data, at = K.string_bytes(batch.column(1))
-            row, start, windows, h, c = suffixes(data, at, length, gram)
-            cols = [batch.column(0).take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(K.signed(h)), pa.array(K.signed(c))]
-            yield pa.RecordBatch.from_arrays(cols, ["dkey", "start", "windows", "h", "c"])
+            row, place, h, c = suffixes(data, at, length, gram)
+            cols = [batch.column(0).take(pa.array(row)), pa.array(place), pa.array(K.signed(h)), pa.array(K.signed(c))]
+            yield pa.RecordBatch.from_arrays(cols, ["dkey", "at", "h", "c"])
+
+    return run
+
+
+def _runs(length: int):
+    """(dkey, text, entries of (at, h, n)) to (h, q, core, c, n, dkey, at) of the entries' runs."""
+
+    def run(batches):
+        for batch in batches:
+            data, at = K.string_bytes(batch.column(1))
+            keys, out = batch.column(0).to_pylist(), []
+            for i, entries in enumerate(batch.column(2).to_pylist()):
+                own = data[at[i] : at[i + 1]]
+                for e in entries:
+                    q, first, many, core, full = window_runs(own, e["at"] >> 18, e["at"] >> 9 & 511, e["at"] & 511, length)
+                    k = len(q)
+                    out.append((np.full(k, e["h"]), q, K.signed(core), K.signed(full), np.full(k, e["n"]), np.full(k, keys[i]), first << 18 | many << 9))
+            if out:
+                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["h", "q", "core", "c", "n", "dkey", "at"])
 
     return run
 
 
 def _prints(length: int):
+    """(dkey, text, entries of (at, h, n)) to (h, f, n, dkey, w): fingerprints of the entries' windows."""
+
     def run(batches):
         for batch in batches:
-            data, at = K.string_bytes(batch.column(0))
-            for i, entries in enumerate(batch.column(1).to_pylist()):
+            data, at = K.string_bytes(batch.column(1))
+            keys, out = batch.column(0).to_pylist(), []
+            for i, entries in enumerate(batch.column(2).to_pylist()):
                 own = data[at[i] : at[i + 1]]
-                fps = [K.signed(window_prints(own, e["start"], e["windows"], length)) for e in entries]
-                sizes = np.cumsum([0] + [len(f) for f in fps]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(fps)))
-                cols = [pa.array([e[k] for e in entries], t) for k, t in (("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*cols, lists], ["h", "c", "n", "prints"])
+                for e in entries:
+                    start, k = e["at"] >> 18, e["at"] >> 9 & 511
+                    out.append((np.full(k, e["h"]), K.signed(window_prints(own, start, k, length)), np.full(k, e["n"]), np.full(k, keys[i]), start + np.arange(k)))
+            if out:
+                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "f", "n", "dkey", "w"])
 
     return run
 
@@ -168,6 +211,16 @@ def _removals(batches):
         yield pa.RecordBatch.from_arrays([keys, pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(lists, pa.list_(span))], ["dkey", "n_removed", "n_spans", "sha", "spans"])
 
 
+def classes(entries: DataFrame, *key: str) -> DataFrame:
+    """Entries with equal key and bytes as one row, with their number and one of their places."""
+    return entries.groupBy(*key, "c").agg(F.sum("n").alias("n"), F.first("dkey").alias("dkey"), F.first("at").alias("at"))
+
+
+def contested(level: DataFrame, *key: str) -> DataFrame:
+    """Classes that share their key with others."""
+    return level.join(level.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").drop("k"), [*key], "left_semi")
+
+
 class LevelIndex:
     """Suffix arrays by rank; two of a rank merge to one of the next."""
 
@@ -177,12 +230,11 @@ class LevelIndex:
 
     @staticmethod
     def _array(entries: DataFrame) -> DataFrame:
-        found = entries.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("dkey", "start", "windows")).alias("at"))
-        return found.select("h", "c", "n", "at.*").sortWithinPartitions("h", "c")
+        return classes(entries, "h").sortWithinPartitions("h", "c")
 
     def add(self, batch: DataFrame) -> None:
-        """``batch(h, c, dkey, start, windows)`` becomes a level of rank 0, and merges upwards."""
-        level, rank = self.scratch.save(self._array(batch.withColumn("n", F.lit(1)))), 0
+        """``batch(h, c, dkey, at)`` becomes a level of rank 0, and merges upwards."""
+        level, rank = self.scratch.save(self._array(batch.withColumn("n", F.lit(1).cast("long")))), 0
         while rank in self.levels:
             level, rank = self._merge(self.levels.pop(rank), level), rank + 1
         self.levels[rank] = level
@@ -191,6 +243,7 @@ class LevelIndex:
         out = self.scratch.save(self._array(a.unionByName(b)))
         self.scratch.drop(a)
         self.scratch.drop(b)
+        self.scratch.release()
         return out
 
     def all(self) -> DataFrame:
@@ -211,41 +264,40 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dkey"), text.alias("text"))
     rows = scratch.save(keyed.select("doc_id", "dkey", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
-    kept = keyed.where(F.octet_length("text") >= length).select("dkey", "text").mapInArrow(_suffixes(length, gram), "dkey long, start int, windows int, h long, c long")
+    kept = keyed.where(F.octet_length("text") >= length).select("dkey", "text").mapInArrow(_suffixes(length, gram), "dkey long, at long, h long, c long")
     kept = scratch.save(kept.withColumn("batch", F.pmod(F.xxhash64("dkey"), F.lit(batches)).cast("int")))
     index = LevelIndex(scratch)
     for b in range(batches):
         index.add(kept.where(F.col("batch") == b).drop("batch"))
     level = index.all()
-    several = level.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    mixed = scratch.save(level.join(several, "h", "left_semi"))
     repeats = bool(rows.groupBy("dkey").count().where("count > 1").limit(1).count())
-    by_doc = mixed.groupBy("dkey").agg(F.collect_list(F.struct("start", "windows", "h", "c", "n")).alias("entries"))
-    texts = keyed.where(key_filter(mixed, "dkey")).select("dkey", "text")
-    if repeats:
-        texts = texts.dropDuplicates(["dkey"])
-    prints = texts.join(by_doc, "dkey").select("text", "entries").mapInArrow(_prints(length), "h long, c long, n long, prints array<long>")
-    prints = prints.select("h", "c", "n", F.posexplode("prints").alias("w", "f"))
+
+    def with_texts(entries: DataFrame, collected: str) -> DataFrame:
+        by_doc = entries.groupBy("dkey").agg(F.expr(collected).alias("entries"))
+        texts = keyed.where(key_filter(by_doc, "dkey")).select("dkey", "text")
+        if repeats:
+            texts = texts.dropDuplicates(["dkey"])
+        return texts.join(by_doc, "dkey").select("dkey", "text", "entries")
+
+    entry = "collect_list(struct(at, h, n))"
+    first, many = F.shiftright("at", 18), F.shiftright("at", 9).bitwiseAND(F.lit(511))
+    span = ("dkey", first.alias("a"), (first + many + (length - 1)).alias("b"))
+    whole = kept.join(level.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(*span)
+
+    runs = with_texts(contested(level, "h"), entry).mapInArrow(_runs(length), "h long, q long, core long, c long, n long, dkey long, at long")
+    runs = scratch.save(runs)
+    key = ("h", "q", "core")
+    level = scratch.save(classes(runs, *key))
+    whole = whole.unionByName(runs.join(level.where("n > 1").select(*key, "c"), [*key, "c"], "left_semi").select(*span))
+
+    prints = with_texts(contested(level, *key), entry).mapInArrow(_prints(length), "h long, f long, n long, dkey long, w long")
     prints = scratch.save(prints)
     twice = prints.groupBy("h", "f").agg(F.sum("n").alias("t")).where("t > 1").select("h", "f")
-    single = prints.where("n = 1").join(twice, ["h", "f"], "left_semi").groupBy("h", "c").agg(F.collect_list("w").alias("ws"))
-    # Runs of consecutive windows, as bytes from the suffix's start.
-    part = mixed.where("n = 1").join(single, ["h", "c"]).select("dkey", "start", F.array_sort("ws").alias("ws"))
-    runs = F.aggregate(
-        "ws",
-        F.expr("cast(array() as array<struct<a:int,b:int>>)"),
-        lambda acc, w: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["b"] == w - 1),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["a"].alias("a"), w.alias("b")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(w.alias("a"), w.alias("b"))))),
-    )
-    part = part.select("dkey", "start", F.explode(runs).alias("r")).select("dkey", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b") + length).alias("b"))
-    whole = kept.join(level.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("dkey", F.col("start").alias("a"), (F.col("start") + F.col("windows") + length - 1).alias("b"))
-    spans = scratch.save(whole.unionByName(part).distinct().groupBy("dkey").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    texts = keyed.where(key_filter(spans, "dkey")).select("dkey", "text")
-    if repeats:
-        texts = texts.dropDuplicates(["dkey"])
-    removals = texts.join(spans, "dkey").select("dkey", "text", "spans").mapInArrow(_removals, "dkey long, n_removed long, n_spans long, sha string, spans array<struct<a:long,b:long>>")
+    lone = prints.where("n = 1").join(twice, ["h", "f"], "left_semi")
+    whole = whole.unionByName(lone.select("dkey", F.col("w").alias("a"), (F.col("w") + length).alias("b")))
+
+    spans = scratch.save(whole.distinct())
+    removals = with_texts(spans, "collect_list(struct(a, b))").mapInArrow(_removals, "dkey long, n_removed long, n_spans long, sha string, spans array<struct<a:long,b:long>>")
     return rows, scratch.save(removals)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,7 +30,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet and return the table read back."""
@@ -37,10 +37,14 @@ class Scratch:
         path = f"{self.root}/{self._n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._quern_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark's cleaner drop shuffle files of finished steps, which it does as the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table made by :meth:`save` that no later step reads."""
         path = getattr(df, "_quern_path", None)
