@@ -17,7 +17,12 @@
    links give components; then only rows that are still in different
    components are paired. A pair left out joins rows already connected, so the
    components are those of all pairs.
-5. A pair is confirmed on its full shingle sets.
+5. A pair comes out of its bucket only if its sets can reach the threshold.
+   That is told without loss by their sizes and by odd sketches: each shingle
+   flips one of ``ODD_BITS`` bits, so sketches differ in no more bits than the
+   sets differ in shingles. Of the buckets that a pair shares, only the first
+   gives it.
+6. A pair is confirmed on its full shingle sets.
 
 Defined cases: text is lower-cased over A-Z, and words are what the blanks
 0x20 and 0x09-0x0D part; null or wordless text has an empty set, links with
@@ -41,6 +46,8 @@ from . import kernels as K
 from .support import Scratch, components
 
 MISS = 1e-4
+ODD_WORDS = 16
+ODD_BITS = 64 * ODD_WORDS
 
 
 def chunks_for(percent: int, miss: float = MISS) -> int:
@@ -83,6 +90,23 @@ def signatures(sets: np.ndarray, at: np.ndarray, m: int) -> list[np.ndarray]:
     return words
 
 
+def odd_sketches(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """ODD_WORDS words for each row; bit b is the parity of the number of shingles that hash to b."""
+    n, rows = len(at) - 1, 1024
+    out = np.zeros((n, ODD_WORDS), np.uint64)
+    bit = (K.mix64(sets ^ K.U64(0x2545F4914F6CDD1D)) & K.U64(ODD_BITS - 1)).astype(np.int64)
+    for lo in range(0, n, rows):
+        hi = min(n, lo + rows)
+        owner = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
+        odd = np.bincount(owner * ODD_BITS + bit[at[lo] : at[hi]], minlength=(hi - lo) * ODD_BITS) & 1
+        out[lo:hi] = np.packbits(odd.astype(bool), bitorder="little").view(np.uint64).reshape(hi - lo, ODD_WORDS)
+    return out
+
+
+def columns(m: int) -> list[str]:
+    return [f"s{i}" for i in range(m)] + [f"o{i}" for i in range(ODD_WORDS)]
+
+
 def _sketches(k: int, m: int):
     def run(batches):
         for batch in batches:
@@ -90,8 +114,10 @@ def _sketches(k: int, m: int):
                 sets, at = K.shingles(words, first, k)
                 c1, c2 = digests(sets, at)
                 sig = signatures(sets, at, m)
+                odd = odd_sketches(sets, at)
+                sig += [np.ascontiguousarray(odd[:, x]) for x in range(ODD_WORDS)]
                 cols = [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(K.signed(c1)), pa.array(K.signed(c2)), *[pa.array(K.signed(s)) for s in sig]]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "c1", "c2", *[f"s{x}" for x in range(m)]])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "c1", "c2", *columns(m)])
 
     return run
 
@@ -109,49 +135,49 @@ def _sets(k: int):
 
 
 def sketches(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """Rows (doc_id, n, c1, c2, s0..): set size, digest and signature of each document."""
-    schema = "doc_id long, n long, c1 long, c2 long, " + ", ".join(f"s{i} long" for i in range(m))
+    """Rows (doc_id, n, c1, c2, s0.., o0..): set size, digest, signature and odd sketch of each document."""
+    schema = "doc_id long, n long, c1 long, c2 long, " + ", ".join(f"{c} long" for c in columns(m))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketches(k, m), schema)
 
 
 def wildcard_keys(m: int) -> Column:
-    """A row's 4m bucket keys: each chunk with one of its symbols left out."""
+    """A row's 4m numbered bucket keys: each chunk with one of its symbols left out."""
     out = []
     for c in range(m):
         for w in range(4):
-            keep = (1 << 64) - 1 ^ (0xFFFF << (16 * w))
-            keep -= (1 << 64) if keep >> 63 else 0
-            out.append(F.xxhash64(F.lit(4 * c + w), F.col(f"s{c}").bitwiseAND(F.lit(keep))))
+            out.append(F.struct(F.lit(4 * c + w).alias("k"), F.xxhash64(F.lit(4 * c + w), F.col(f"s{c}").bitwiseAND(kept_bits(w))).alias("key")))
     return F.array(*out)
 
 
-def symbol_distance(m: int) -> Column:
-    """Number of symbols in which the signatures a.s0.. and b.s0.. differ."""
-    out = []
+def kept_bits(w: int) -> Column:
+    """Mask of a chunk's symbols without symbol w."""
+    keep = (1 << 64) - 1 ^ (0xFFFF << (16 * w))
+    return F.lit(keep - (1 << 64) if keep >> 63 else keep)
+
+
+def first_shared(m: int) -> Column:
+    """Number of the first key that the signatures a.s0.. and b.s0.. share."""
+    out = None
     for c in range(m):
         x = F.col(f"a.s{c}").bitwiseXOR(F.col(f"b.s{c}"))
-        out += [F.when(x.bitwiseAND(F.lit((0xFFFF << (16 * w)) - ((1 << 64) if w == 3 else 0))) != 0, 1).otherwise(0) for w in range(4)]
-    return reduce(Column.__add__, out)
+        for w in range(4):
+            same = x.bitwiseAND(kept_bits(w)) == 0
+            out = F.when(same, 4 * c + w) if out is None else out.when(same, 4 * c + w)
+    return out
 
 
-class _Links:
-    """Confirms candidate pairs of classes on full sets."""
+def reachable(percent: int) -> Column:
+    """Whether the sets of a and b can reach the threshold, by their sizes and odd sketches; never false for those that do."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"a.o{i}").bitwiseXOR(F.col(f"b.o{i}"))) for i in range(ODD_WORDS)])
+    fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    return fits & ((100 + percent) * differ <= (100 - percent) * (F.col("a.n") + F.col("b.n")))
 
-    def __init__(self, scratch: Scratch, classes: DataFrame, sets: DataFrame, m: int, percent: int):
-        self.scratch, self.classes, self.sets, self.m, self.percent = scratch, classes, sets, m, percent
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs(u, v)`` that reach the threshold."""
-        a, b = self.classes.alias("a"), self.classes.alias("b")
-        near = (
-            pairs.join(a, F.col("u") == F.col("a.rep")).join(b, F.col("v") == F.col("b.rep"))
-            .where(100 * F.least("a.n", "b.n") >= self.percent * F.greatest("a.n", "b.n"))
-            .where(symbol_distance(self.m) <= 2 * self.m - 1)
-            .select("u", "v")
-        )
-        x, y = self.sets.select(F.col("rep").alias("u"), F.col("items").alias("x")), self.sets.select(F.col("rep").alias("v"), F.col("items").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return near.join(x, "u").join(y, "v").where(100 * both >= self.percent * (F.size("x") + F.size("y") - both)).select("u", "v")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose full sets reach the threshold."""
+    x, y = sets.select(F.col("rep").alias("u"), F.col("items").alias("x")), sets.select(F.col("rep").alias("v"), F.col("items").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(x, "u").join(y, "v").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
@@ -159,17 +185,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     m = chunks_for(percent, miss)
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = scratch.save(sketches(docs, k, m))
-    sig = [f"s{i}" for i in range(m)]
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(s).alias(s) for s in sig])
+    known = rows.where("n > 0 and doc_id is not null")
+    classes = known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(s).alias(s) for s in columns(m)])
     classes = scratch.save(classes)
-    keyed = classes.select("rep", F.explode(wildcard_keys(m)).alias("key"))
+    keyed = classes.select("rep", F.explode(wildcard_keys(m)).alias("x")).select("rep", "x.*")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = scratch.save(keyed.join(shared, "key").select("key", "rep", "n"))
-    weight = keyed.groupBy("rep").agg(F.sum("n").alias("w"))
-    weight = scratch.save(weight)
-    hubs = keyed.join(weight, "rep").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"))).alias("h")).select("key", (-F.col("h.r")).alias("hub"))
+    keyed = scratch.save(keyed.join(shared, "key").select("key", "k", "rep", "n"))
+    weight = scratch.save(keyed.groupBy("rep").agg(F.sum("n").alias("w")))
+    hubs = keyed.join(weight, "rep").groupBy("key").agg(F.max("w").alias("w"), F.max_by("rep", F.struct("w", -F.col("rep"))).alias("hub")).select("key", "hub")
     first = keyed.join(hubs, "key").where("rep <> hub").select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct()
+    a, b = classes.alias("a"), classes.alias("b")
     first = scratch.save(first)
+    near = first.join(a, F.col("u") == F.col("a.rep")).join(b, (F.col("v") == F.col("b.rep")) & reachable(percent)).select("u", "v")
     need = classes.join(weight, "rep", "left_semi").select("c1", "c2", "rep")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
     sets = texts.select("doc_id", "text").mapInArrow(_sets(k), "c1 long, c2 long, items array<long>")
@@ -177,24 +204,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     if repeats:
         sets = sets.dropDuplicates(["c1", "c2"])
     sets = scratch.save(sets.join(need, ["c1", "c2"]).select("rep", "items"))
-    links = _Links(scratch, classes, sets, m, percent)
-    found = links.confirm(first)
+    found = confirmed(near, sets, percent)
     if repeats:  # rows of one id are one node, also where their texts belong to different classes
-        same = rows.where("n > 0 and doc_id is not null").join(classes.select("c1", "c2", "rep"), ["c1", "c2"])
+        same = known.join(classes.select("c1", "c2", "rep"), ["c1", "c2"])
         found = found.unionByName(same.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct())
     found = scratch.save(found)
     comp = components(scratch, found)
-    placed = keyed.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component_id", "rep").alias("c"))
+    # Buckets of two have been compared already.
+    placed = keyed.where("n > 2").join(comp, F.col("rep") == F.col("node"), "left").select("key", "k", "rep", F.coalesce("component_id", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = scratch.save(placed.join(mixed, "key"))
+    left = scratch.save(placed.join(mixed, "key").join(classes.select("rep", "n", *columns(m)), "rep"))
     a, b = left.alias("a"), left.alias("b")
     rest = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")))
+        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & reachable(percent) & (first_shared(m) == F.col("a.k")))
         .select(F.greatest("a.rep", "b.rep").alias("u"), F.least("a.rep", "b.rep").alias("v"))
-        .distinct()
         .join(first, ["u", "v"], "left_anti")
     )
-    found = found.unionByName(scratch.save(links.confirm(rest)))
+    found = found.unionByName(scratch.save(confirmed(rest.distinct(), sets, percent)))
     comp = components(scratch, found)
     named = classes.join(comp, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.join(named, ["c1", "c2"], "left")
