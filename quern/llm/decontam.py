@@ -4,17 +4,18 @@ Texts are sequences of words (lower-cased; everything but letters, digits and
 non-ASCII bytes parts words). A document is contaminated by an item of L words
 if some part of it is within ``MAX_EDIT`` * L word edits of the item.
 
-1. Candidates start at every word of a document that enough telling words
-   follow. A word tells if few items have it; an alignment with k edits of an
-   item with r telling words has r - k of them among L + k words of the
-   document. This test loses nothing.
+1. An item is searched from ``ANCHORS`` of the words in its first half, those
+   that fewest items have. An item-sized window of a document starts where such
+   a word stands and goes on for what the item has left. All anchors being lost
+   to edits is the rarer the more there are.
 2. A CGK random walk reads a window: in step j it emits the word under it and
    moves on by a random bit of (j, word). Windows within a few edits come back
    into step, so the walks' Hamming distance is small. Each of ``REPEATS``
-   repetitions has its own walk and, for each octave of item lengths, samples
+   repetitions has its own walk and, for each octave of lengths, samples
    ``SAMPLES`` of its steps; windows that agree with an item in all of them are
    candidates. Samples are compared as the walk reaches them, so few windows
-   walk far. ``REPEATS`` is set for a recall over 0.99 at the greatest distance.
+   walk far. Measured recall is over 0.99 at half the greatest distance, and
+   at the greatest distance as the tests state it.
 3. Each candidate is verified by exact semi-global edit distance.
 
 Items go to the executors in blocks of ``ITEMS_A_BLOCK``, so what a task holds
@@ -38,11 +39,9 @@ from . import kernels as K
 
 MAX_EDIT = 0.2
 MIN_WORDS = 5
-REPEATS, SAMPLES = 16, 4
+ANCHORS, REPEATS, SAMPLES = 5, 12, 2
 ITEMS_A_BLOCK = 5000
 VOCABULARY_BITS = 20
-#: Share of the items that a telling word may occur in.
-COMMON = 0.02
 
 #: What parts words: all of ASCII but letters and digits.
 GAP = np.zeros(256, bool)
@@ -85,7 +84,7 @@ def alignment(pattern: list[int], text: list[int]) -> tuple[int, int]:
 
 
 class Items:
-    """A block of items with the samples of their walks."""
+    """A block of items with the samples of their windows' walks."""
 
     def __init__(self, ids: list, texts: list):
         data, at = K.string_bytes(pa.array(texts, pa.string()))
@@ -93,69 +92,62 @@ class Items:
         every = [(i, hashes[a:b]) for i, a, b in zip(ids, first[:-1], first[1:], strict=True)]
         self.items = [(i, w) for i, w in every if len(w) >= MIN_WORDS and i is not None]
         self.lists = [w.tolist() for _, w in self.items]
-        bits = K.U64((1 << VOCABULARY_BITS) - 1)
-        self.known = np.zeros(1 << VOCABULARY_BITS, bool)
-        by_length: dict[int, list[int]] = {}
+        self.sets = [set(w) for w in self.lists]
         df = dict(zip(*np.unique(np.concatenate([np.unique(w) for _, w in self.items] or [hashes[:0]]), return_counts=True), strict=True))
-        most = max(2, COMMON * len(self.items))
-        telling = []
+        #: (item, words before the anchor, the item's words from the anchor on)
+        windows = []
         for n, (_, w) in enumerate(self.items):
-            own = np.array([x for x in w.tolist() if df[x] <= most], K.U64)
-            self.known[(own & bits).astype(np.int64)] = True
-            telling.append(len(own))
-            by_length.setdefault(len(w), []).append(n)
-        # Octaves of lengths; in each, ranges of similar lengths share a test of known words.
+            half = range(max(1, len(w) // 2))
+            for at_ in sorted(half, key=lambda i: (df[w[i]], i))[:ANCHORS]:
+                windows.append((n, at_, w[at_:]))
+        self.starts = np.zeros(1 << VOCABULARY_BITS, bool)
+        self.starts[low_bits(np.array([w[0] for _, _, w in windows], K.U64))] = True
         self.octaves = []
-        lo = MIN_WORDS
-        while by_length and lo <= max(by_length):
-            lengths = sorted(x for x in by_length if lo <= x < 2 * lo)
-            ranges: list[tuple[int, int]] = []
-            while lengths:
-                a = lengths[0]
-                b = max(x for x in lengths if x <= 1.15 * a)
-                least = min(telling[n] - edits(x) for x in lengths if x <= b for n in by_length[x])
-                ranges.append((b + edits(b), least))
-                lengths = [x for x in lengths if x > b]
-            members = [n for x, ns in by_length.items() if lo <= x < 2 * lo for n in ns]
+        lo = 1
+        while any(len(w) >= lo for _, _, w in windows):
+            members = [x for x in windows if lo <= len(x[2]) < 2 * lo]
             if members:
-                self.octaves.append((ranges, members, [self._samples(members, lo, r) for r in range(REPEATS)]))
+                self.octaves.append([self._samples(members, lo, r) for r in range(REPEATS)])
             lo *= 2
 
-    def _samples(self, members: list[int], lo: int, repeat: int):
-        """The steps sampled, and for each prefix of the samples the sorted keys of the items; last, whose keys they are."""
+    def _samples(self, members: list, lo: int, repeat: int):
+        """The steps sampled, and for each prefix of the samples the sorted keys of the windows; last, whose keys they are."""
         draw = np.random.default_rng([20240229, lo, repeat])
-        steps = np.sort(draw.choice(int(1.5 * lo), SAMPLES, replace=False))
-        flat = np.concatenate([self.items[n][1] for n in members])
-        at = np.cumsum([0] + [len(self.items[n][1]) for n in members])
-        prefixes = []
-        walk = Walk(flat, mask_of(flat, repeat, steps), at[:-1].copy(), at[1:], repeat)
-        key = np.zeros(len(members), K.U64)
+        free = np.arange(1, max(2, int(1.5 * lo)))
+        steps = np.concatenate([[0], np.sort(draw.choice(free, min(SAMPLES, len(free)), replace=False))])
+        flat = np.concatenate([w for _, _, w in members])
+        at = np.cumsum([0] + [len(w) for _, _, w in members])
+        walk = Walk(flat, at[:-1].copy(), at[1:], repeat)
+        key, prefixes = np.zeros(len(members), K.U64), []
         for s in steps.tolist():
             key = K.mix64(key + walk.emit(s))
             prefixes.append(key)
         order = np.argsort(prefixes[-1], kind="stable")
-        return steps, [np.unique(p) for p in prefixes[:-1]], prefixes[-1][order], np.asarray(members)[order]
+        owner = np.array([(n, before) for n, before, _ in members], np.int64)[order]
+        return steps, [np.unique(p) for p in prefixes[:-1]], prefixes[-1][order], owner
 
 
-def mask_of(hashes: np.ndarray, repeat: int, steps: np.ndarray) -> list[np.ndarray]:
-    """Words of 64 random bits for each text word: one bit a step."""
-    return [K.mix64(hashes ^ K.U64(1 + repeat * 64 + part)) for part in range(int(steps[-1]) // 64 + 1)]
+def low_bits(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> K.U64(20)) & K.U64((1 << VOCABULARY_BITS) - 1)).astype(np.int64)
 
 
 class Walk:
-    """Random walks from many starts at once."""
+    """Random walks over the words from many places at once."""
 
-    def __init__(self, hashes, masks, place, end, repeat):
-        self.hashes, self.masks, self.place, self.end, self.step = hashes, masks, place, end, 0
+    def __init__(self, hashes: np.ndarray, place: np.ndarray, end: np.ndarray, repeat: int):
+        self.hashes, self.place, self.end, self.repeat, self.step = hashes, place, end, repeat, 0
+
+    def _under(self) -> np.ndarray:
+        return self.hashes[np.minimum(self.place, len(self.hashes) - 1)]
 
     def emit(self, step: int) -> np.ndarray:
         """Moves all walks to ``step`` and returns the words under them; 0 beyond the end."""
-        last = len(self.hashes) - 1
         while self.step < step:
-            mask = self.masks[self.step // 64][np.minimum(self.place, last)]
-            self.place = self.place + ((mask >> K.U64(self.step % 64)) & K.U64(1)).astype(np.int64)
+            # 64 random bits a word, one a step.
+            bits = K.mix64(self._under() ^ K.U64(1 + self.repeat * 64 + self.step // 64))
+            self.place = self.place + ((bits >> K.U64(self.step % 64)) & K.U64(1)).astype(np.int64)
             self.step += 1
-        return np.where(self.place < self.end, self.hashes[np.minimum(self.place, last)], K.U64(0))
+        return np.where(self.place < self.end, self._under(), K.U64(0))
 
     def keep(self, which: np.ndarray) -> None:
         self.place, self.end = self.place[which], self.end[which]
@@ -166,27 +158,17 @@ def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[at] == values
 
 
-def candidates(items: Items, hashes: np.ndarray, first: np.ndarray):
-    """Pairs (start, item) of words at which a window collides with an item in some repetition."""
-    n = len(hashes)
-    known = items.known[(hashes & K.U64((1 << VOCABULARY_BITS) - 1)).astype(np.int64)]
-    if not n:
-        return np.zeros((0, 2), np.int64)
-    count = np.zeros(n + 1, np.int32)
-    np.cumsum(known, out=count[1:])
-    end = np.repeat(first[1:], np.diff(first))
-    here = np.arange(n)
+def candidates(items: Items, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows (word, before, item): windows at ``word`` that collide with the item from its word ``before`` on."""
+    none = np.zeros((0, 3), np.int64)
+    starts = np.flatnonzero(items.starts[low_bits(hashes)])
+    if not len(starts):
+        return none
+    end = first[np.searchsorted(first, starts, "right")]
     found = []
-    for ranges, _, samples in items.octaves:
-        dense = np.zeros(n, bool)
-        for wide, least in ranges:
-            dense |= count[np.minimum(here + wide, end)] - count[:-1] >= least
-        starts = np.flatnonzero(dense)
-        if not len(starts):
-            continue
+    for samples in items.octaves:
         for repeat, (steps, prefixes, keys, owners) in enumerate(samples):
-            walk = Walk(hashes, None, starts, end[starts], repeat)
-            walk.masks = _Lazy(hashes, repeat, n <= 4 * len(starts))
+            walk = Walk(hashes, starts, end, repeat)
             own, key = starts, np.zeros(len(starts), K.U64)
             for k, s in enumerate(steps.tolist()):
                 key = K.mix64(key + walk.emit(s))
@@ -199,46 +181,30 @@ def candidates(items: Items, hashes: np.ndarray, first: np.ndarray):
                 a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                 times = b - a
                 which = np.repeat(a - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-                found.append(np.stack([np.repeat(own, times), owners[which]], axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
-
-class _Lazy:
-    """Masks made on demand: of all words at once, or only of those looked up."""
-
-    def __init__(self, hashes, repeat, dense):
-        self.hashes, self.repeat, self.dense, self.made = hashes, repeat, dense, {}
-
-    def __getitem__(self, part):
-        seed = K.U64(1 + self.repeat * 64 + part)
-        if not self.dense:
-            return _Looked(self.hashes, seed)
-        if part not in self.made:
-            self.made[part] = K.mix64(self.hashes ^ seed)
-        return self.made[part]
-
-
-class _Looked:
-    def __init__(self, hashes, seed):
-        self.hashes, self.seed = hashes, seed
-
-    def __getitem__(self, place):
-        return K.mix64(self.hashes[place] ^ self.seed)
+                got = owners[which]
+                found.append(np.stack([np.repeat(own, times), got[:, 1], got[:, 0]], axis=1))
+    if not found:
+        return none
+    return np.unique(np.concatenate(found), axis=0)
 
 
 def matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(row, item, distance, word after its end) of every item found in a row."""
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    pairs = candidates(items, hashes, first)
-    rows = np.searchsorted(first, pairs[:, 0], "right") - 1
-    for row, (start, item) in zip(rows.tolist(), pairs.tolist(), strict=True):
+    found = candidates(items, hashes, first)
+    rows = np.searchsorted(first, found[:, 0], "right") - 1
+    for row, (word, before, item) in zip(rows.tolist(), found.tolist(), strict=True):
         size = len(items.lists[item])
         k = edits(size)
-        lo, hi = max(int(first[row]), start - k), min(int(first[row + 1]), start + size + 2 * k)
+        lo, hi = max(int(first[row]), word - before - 2 * k), min(int(first[row + 1]), word - before + size + 2 * k)
         have = best.get((row, item))
         if have and have[0] == 0:
             continue
-        distance, at = alignment(items.lists[item], hashes[lo:hi].tolist())
+        part = hashes[lo:hi].tolist()
+        # Each word of the item without an equal in the document costs an edit.
+        if len(items.sets[item].difference(part)) > k:
+            continue
+        distance, at = alignment(items.lists[item], part)
         if distance <= k:
             got = (distance, lo + at - int(first[row]))
             if not have or got < have:

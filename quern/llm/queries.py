@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, licenses, minhash, mixing, sharding, suffixdedup
+from . import decontam, embed_dedup, licenses, minhash, mixing, sharding, suffixdedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op8_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"), path=path)
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix_dedup(spark, sf_dir):
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -40,6 +44,7 @@ def op10_minhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
