@@ -1,30 +1,57 @@
-"""Corpus preparation: filter, deduplicate, decontaminate, mix and shard ``documents``."""
+"""Corpus preparation: filter, deduplicate, decontaminate, mix and shard ``documents``.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
+and returns the columns of ``documents``; the last adds each row's shard.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing, sharding
+from quern.llm import decontam, minhash, mixing, sharding, toxicity
+from quern.llm.support import Scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon learnt from ``labels`` rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.learn(docs, labels))
+
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with a similarity of 0.8 or more on five-word shingles stays."""
+    return minhash.deduplicate(docs, k=5, percent=80)
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of ``benchmark``, up to a fifth of its words edited, go."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, as often as the mix's schedule reads the block they start in."""
     return mixing.apply(docs)
 
 
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def place_on_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their slot and shard."""
     return sharding.place(docs)
 
 
-STAGES = [("mix", mix), ("shard", shard)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", place_on_shards),
+]
 
-#: The mix's schedule and the similarity stages can't be put in SQL; tests compare with plain Python.
+#: The learnt lexicon and the similarity stages can't be put in SQL; tests compare with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each reads what its predecessor wrote to the shared folder."""
-    from quern.llm.support import Scratch
-
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
