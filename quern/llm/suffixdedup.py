@@ -216,9 +216,13 @@ def classes(entries: DataFrame, *key: str) -> DataFrame:
     return entries.groupBy(*key, "c").agg(F.sum("n").alias("n"), F.first("dkey").alias("dkey"), F.first("at").alias("at"))
 
 
-def contested(level: DataFrame, *key: str) -> DataFrame:
-    """Classes that share their key with others."""
-    return level.join(level.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").drop("k"), [*key], "left_semi")
+def contested(scratch: Scratch, level: DataFrame, *key: str) -> DataFrame:
+    """Classes that share their key with others.
+
+    The keys are written first: a join of two plain exchanges can split a hot key, one onto an aggregate can't.
+    """
+    keys = level.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    return level.join(scratch.save(keys), [*key], "left_semi")
 
 
 class LevelIndex:
@@ -284,16 +288,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     span = ("dkey", first.alias("a"), (first + many + (length - 1)).alias("b"))
     whole = kept.join(level.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(*span)
 
-    runs = with_texts(contested(level, "h"), entry).mapInArrow(_runs(length), "h long, q long, core long, c long, n long, dkey long, at long")
+    runs = with_texts(contested(scratch, level, "h"), entry).mapInArrow(_runs(length), "h long, q long, core long, c long, n long, dkey long, at long")
     runs = scratch.save(runs)
     key = ("h", "q", "core")
     level = scratch.save(classes(runs, *key))
     whole = whole.unionByName(runs.join(level.where("n > 1").select(*key, "c"), [*key, "c"], "left_semi").select(*span))
 
-    prints = with_texts(contested(level, *key), entry).mapInArrow(_prints(length), "h long, f long, n long, dkey long, w long")
+    prints = with_texts(contested(scratch, level, *key), entry).mapInArrow(_prints(length), "h long, f long, n long, dkey long, w long")
     prints = scratch.save(prints)
     twice = prints.groupBy("h", "f").agg(F.sum("n").alias("t")).where("t > 1").select("h", "f")
-    lone = prints.where("n = 1").join(twice, ["h", "f"], "left_semi")
+    lone = prints.where("n = 1").join(scratch.save(twice), ["h", "f"], "left_semi")
     whole = whole.unionByName(lone.select("dkey", F.col("w").alias("a"), (F.col("w") + length).alias("b")))
 
     spans = scratch.save(whole.distinct())
