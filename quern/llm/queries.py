@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, licenses, minhash, mixing, sharding, suffixdedup, toxicity
+from . import decontam, embed_dedup, langid, licenses, minhash, mixing, sharding, suffixdedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op2_toxicity(spark, sf_dir):
     return out.select("doc_id", F.coalesce(_crc("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op3_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.learn(docs.where(_crc("doc_id", 5) != 0)))
+    return out.select("doc_id", F.coalesce(_crc("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_decontamination(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +62,7 @@ def op10_minhash(spark, sf_dir):
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_language": op3_language,
     "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixing": op6_mixing,
