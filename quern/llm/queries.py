@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, langid, licenses, minhash, mixing, sharding, suffixdedup, toxicity
+from . import decontam, embed_dedup, langid, licenses, minhash, mixing, pii, sharding, suffixdedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op8_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"), path=path)
 
 
+def op1_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.summary(pii.detect(docs, pii.learn(docs)))
+
+
 def _crc(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
@@ -61,6 +66,7 @@ def op10_minhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
     "op4_decontamination": op4_decontamination,
