@@ -96,9 +96,14 @@ def char_grams(word: Column, k: int = 3) -> Column:
 def shingles(text: Column, k: int = 4) -> Column:
     """Distinct k-word windows of the lower-cased words, joined by blanks; a shorter text is one shingle."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+
+    def windows(ws: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(ws) - (k - 1), F.lit(1)))
+        many = F.transform(at, lambda i: F.array_join(F.slice(ws, i, k), " "))
+        return F.when(F.size(ws) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+
+    # An array of one element binds the words, which would else be split again for every window.
+    return F.element_at(F.transform(F.array(words), windows), 1)
 
 
 def shingle_hashes(text: Column, k: int = 4) -> Column:

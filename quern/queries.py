@@ -406,9 +406,8 @@ def heap_top(c):
 
 def qrels(c):
     """(qid, doc_id): documents that share eight words in a row with a benchmark item."""
-    window = lambda t: F.transform(analysis.shingles(t, 8), lambda s: s)
-    items = c.queries.select("qid", F.explode(window(F.col("text"))).alias("s")).where(F.size(F.split("s", " ")) == 8)
-    docs = c.table("documents").select("doc_id", F.explode(window(F.col("text"))).alias("s"))
+    items = c.queries.select("qid", F.explode(analysis.shingles(F.col("text"), 8)).alias("s")).where(F.size(F.split("s", " ")) == 8)
+    docs = c.table("documents").select("doc_id", F.explode(analysis.shingles(F.col("text"), 8)).alias("s"))
     return items.join(docs, "s").select("qid", "doc_id").distinct()
 
 
