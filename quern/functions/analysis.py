@@ -103,7 +103,7 @@ def shingles(text: Column, k: int = 4) -> Column:
         return F.when(F.size(ws) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
 
     # An array of one element binds the words, which would else be split again for every window.
-    return F.element_at(F.transform(F.array(words), windows), 1)
+    return F.when(text.isNotNull(), F.element_at(F.transform(F.array(words), windows), 1))
 
 
 def shingle_hashes(text: Column, k: int = 4) -> Column:

@@ -17,20 +17,20 @@ FIRST_STAGE = 100
 
 
 def query(f):
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(Corpus(spark, sf_dir))
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Corpus.of(spark, sf_dir))
     return f
 
 
 def n_docs(c: Corpus) -> int:
-    return c.table("documents").count()  # from the files' footers
+    return c.n_docs
 
 
 def zoned(c):
-    return index.postings(index.tokens(c.paras))
+    return c.postings
 
 
 def whole(c):
-    return index.whole_text_postings(c.paras)
+    return c.whole
 
 
 # ---- index
@@ -38,12 +38,12 @@ def whole(c):
 
 @query
 def tokens_per_zone(c):
-    return index.tokens(c.paras).groupBy("zone").agg(F.count("*").alias("n_tokens"), F.countDistinct("term").alias("n_terms"))
+    return c.tokens.groupBy("zone").agg(F.count("*").alias("n_tokens"), F.countDistinct("term").alias("n_terms"))
 
 
 @query
 def term_positions(c):
-    return index.tokens(c.paras).where("zone = 'issues'")
+    return c.tokens.where("zone = 'issues'")
 
 
 @query
@@ -85,8 +85,7 @@ def intersection_costs(c):
 
 
 def searcher(c):
-    toks = index.tokens(c.paras)
-    return Searcher(index.postings(toks), toks, c.docs)
+    return Searcher(c.postings, c.tokens, c.docs)
 
 
 SEARCHES = {
@@ -108,7 +107,7 @@ SEARCHES = {
     "filter_court": "court:SC",
 }
 for _name, _text in SEARCHES.items():
-    QUERIES[_name] = lambda spark, sf_dir, text=_text: searcher(Corpus(spark, sf_dir)).search(text)
+    QUERIES[_name] = lambda spark, sf_dir, text=_text: searcher(Corpus.of(spark, sf_dir)).search(text)
 
 
 @query
@@ -185,12 +184,12 @@ def bm25_top10_saturated(c):
 
 def doc_query_terms(c, zones=FI):
     """(qid, term, qtf) of the documents that serve as queries, from their facts and issues."""
-    lines = c.paras.where("doc_id % 5 = 0").where(F.col("zone").isin(*zones))
-    return lines.select(F.col("doc_id").alias("qid"), F.explode(analysis.terms(F.col("line"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    own = c.postings.where("doc_id % 5 = 0").where(F.col("zone").isin(*zones))
+    return own.groupBy(F.col("doc_id").alias("qid"), "term").agg(F.sum("tf").alias("qtf"))
 
 
 def pool_postings(c):
-    return index.whole_text_postings(c.paras.where("doc_id % 5 <> 0"))
+    return c.whole.where("doc_id % 5 <> 0")
 
 
 def pool_size(c):
@@ -202,7 +201,7 @@ def zone_pair_rows(c):
     for name, zones in (("facts", ("facts",)), ("issues", ("issues",)), ("fi", FI)):
         part = doc_query_terms(c, zones).where("qid % 25 = 0").withColumn("view", F.lit(name))
         views = part if views is None else views.unionByName(part)
-    post = index.postings(index.tokens(c.paras.where("doc_id % 5 <> 0")))
+    post = c.postings.where("doc_id % 5 <> 0")
     return scoring.zone_pairs(post.where(F.col("zone").isin("facts", "issues", "decision", "all")), views, pool_size(c))
 
 
@@ -605,12 +604,12 @@ def zone_profile(c):
 
 @query
 def distinctive_terms(c):
-    return profiling.distinctive_terms(index.postings(index.tokens(c.paras)).where(F.col("zone").isin(*ZONES)))
+    return profiling.distinctive_terms(c.postings.where(F.col("zone").isin(*ZONES)))
 
 
 @query
 def zone_cosines(c):
-    return rounded(profiling.zone_cosines(index.postings(index.tokens(c.paras)).where(F.col("zone").isin(*ZONES))))
+    return rounded(profiling.zone_cosines(c.postings.where(F.col("zone").isin(*ZONES))))
 
 
 # ---- small text functions

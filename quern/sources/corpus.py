@@ -92,11 +92,49 @@ def write_results(df: DataFrame, path: str, form: str = "json") -> None:
 
 
 class Corpus:
-    """Tables of one folder as the retrieval model; frames are built when asked for."""
+    """Tables of one folder as the retrieval model; frames are built when asked for.
+
+    Index tables are persisted when first used, so that queries over one folder
+    share one index, as they would share a written one. A lost block is computed
+    again from the tables.
+    """
+
+    _open: dict[tuple[str, str], Corpus] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Corpus:
+        """The open corpus of a folder."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in cls._open:
+            cls._open[key] = cls(spark, sf_dir)
+        return cls._open[key]
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        """(doc_id, zone, pos, term)."""
+        from quern.operators import index
+
+        return index.tokens(self.paras).persist()
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """(zone, term, doc_id, tf), derived zones included."""
+        from quern.operators import index
+
+        return index.postings(self.tokens).persist()
+
+    @cached_property
+    def whole(self) -> DataFrame:
+        """(term, doc_id, tf) of whole texts."""
+        return self.postings.where("zone = 'all'").select("term", "doc_id", "tf")
+
+    @cached_property
+    def n_docs(self) -> int:
+        return self.table("documents").count()  # from the files' footers
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -142,4 +180,4 @@ class Corpus:
         n = self.table("documents").agg(F.count("*").alias("n"))
         e = self.table("lineitem").where("l_linenumber = 1").crossJoin(F.broadcast(n))
         e = e.select((F.col("l_orderkey") % F.col("n")).alias("src"), (F.col("l_partkey") % F.col("n")).alias("dst"))
-        return e.where("src <> dst and dst % 5 <> 0").distinct()
+        return e.where("src <> dst and dst % 5 <> 0").distinct().persist()
