@@ -148,7 +148,7 @@ class Network:
         n = len(at) - 1
         total = np.zeros((n, len(self.languages)))
         letters = np.zeros(n)
-        for i, j in K.pieces(at, 1 << 20):
+        for i, j in K.pieces(at, 1 << 20) if self.languages else ():
             part = at[i : j + 1] - at[i]
             x, row = windows(data[at[i] : at[j]], part)
             if len(x):
@@ -156,7 +156,7 @@ class Network:
                 weighed = self.probabilities(x) * ink[:, None]
                 np.add.at(total, row + i, weighed)
                 np.add.at(letters, row + i, ink)
-        best = total.argmax(1) if self.languages else np.zeros(n, int)
+        best = total.argmax(1) if self.languages and n else np.zeros(n, int)
         names, scores = [], np.zeros(n)
         for r in range(n):
             text = data[at[r] : at[r + 1]]

@@ -139,7 +139,6 @@ def apply(docs: DataFrame, **options) -> DataFrame:
 
     Rows alike in id and text share their copies evenly.
     """
-    copies = mix(docs, **options).groupBy("key").agg(F.round(F.avg("copies")).cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    rows = rows.join(copies, rows["_key"] == copies["key"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    copies = mix(docs, **options).groupBy("key").agg(F.round(F.avg("copies")).cast("int").alias("times")).where("times > 0")
+    rows = docs.join(copies, F.xxhash64(docs["doc_id"], docs["text"]) == copies["key"])
+    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies["times"])).alias("__quern_copy")).drop("__quern_copy")

@@ -54,7 +54,7 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 _FOREIGN = re.compile("[Ͱ-ԯＡ-ｚ]")
 _FOLD = {ord(k): v for k, v in LOOKALIKES.items()} | {0xFF41 + i: chr(97 + i) for i in range(26)}
-_SIGN = re.compile(r"[a-z][0-9@$!|]+[a-z]|(?<![^\W_])[0-9@$]+[a-z]{2}")
+_SIGN = re.compile(r"(?<![a-z0-9@$!|])(?:[0-9@$]++[a-z]++(?:[0-9@$!|]++[a-z]++)*+|[a-z]++(?:[0-9@$!|]++[a-z]++)++)")
 _SIGNS = {ord(k): v for k, v in SUBSTITUTES.items()}
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -103,7 +103,7 @@ class Lexicon:
     def read(self, text: str) -> tuple[float, int]:
         """Sum of weights and number of words of a text."""
         folded = fold(text)
-        words = folded.count(" ") - 1
+        words = folded.count(" ") - 1 if len(folded) > 2 else 0
         if not self.weights:
             return 0.0, words
         best: dict[int, float] = {}
@@ -182,8 +182,8 @@ def weighed(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model from ``labels(doc_id, toxic)``, at most ``rows`` documents a class."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "toxicity")
+    docs = docs.select("doc_id", "text")
+    scratch = Scratch(docs.sparkSession, "toxicity")
     labels = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_id"), (F.col("toxic") != 0).alias("_toxic"))
     draw = [labels.where(F.col("_toxic") == t).orderBy(md5_long(F.col("_id")), "_id").limit(rows) for t in (True, False)]
     chosen = F.broadcast(draw[0].unionByName(draw[1]))  # 2 * rows ids at most
