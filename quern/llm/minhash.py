@@ -190,10 +190,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     classes = scratch.save(classes)
     keyed = classes.select("rep", F.explode(wildcard_keys(m)).alias("x")).select("rep", "x.*")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = scratch.save(keyed.join(shared, "key").select("key", "k", "rep", "n"))
+    # Keys are written before they are joined: a join of two plain exchanges can split a hot key, one onto an aggregate can't.
+    keyed = scratch.save(keyed.join(scratch.save(shared), "key").select("key", "k", "rep", "n"))
     weight = scratch.save(keyed.groupBy("rep").agg(F.sum("n").alias("w")))
     hubs = keyed.join(weight, "rep").groupBy("key").agg(F.max("w").alias("w"), F.max_by("rep", F.struct("w", -F.col("rep"))).alias("hub")).select("key", "hub")
-    first = keyed.join(hubs, "key").where("rep <> hub").select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct()
+    first = keyed.join(scratch.save(hubs), "key").where("rep <> hub").select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct()
     a, b = classes.alias("a"), classes.alias("b")
     first = scratch.save(first)
     near = first.join(a, F.col("u") == F.col("a.rep")).join(b, (F.col("v") == F.col("b.rep")) & reachable(percent)).select("u", "v")
@@ -213,7 +214,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     # Buckets of two have been compared already.
     placed = keyed.where("n > 2").join(comp, F.col("rep") == F.col("node"), "left").select("key", "k", "rep", F.coalesce("component_id", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = scratch.save(placed.join(mixed, "key").join(classes.select("rep", "n", *columns(m)), "rep"))
+    left = scratch.save(placed.join(scratch.save(mixed), "key").join(classes.select("rep", "n", *columns(m)), "rep"))
     a, b = left.alias("a"), left.alias("b")
     rest = (
         a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & reachable(percent) & (first_shared(m) == F.col("a.k")))
