@@ -45,15 +45,25 @@ def strip_placeholders(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case tokens; references to sections and articles come as ``s.<number>`` and ``art.<number>``."""
+    """Lower-case tokens; references to sections and articles come as ``s.<number>`` and ``art.<number>``.
+
+    Texts without a digit have no references, and most have no apostrophe: they take the shorter ways.
+    """
+    low = F.lower(text)
+
+    def bare(t: Column) -> Column:
+        return F.regexp_replace(t, "['’]s$", "")
 
     def named(t: Column) -> Column:
         # Only references hold anything but letters, digits and apostrophes.
         number = F.regexp_extract(t, rf"(?U){REF_NUMBER}$", 0)
         reference = F.concat(F.when(t.startswith("art"), F.lit("art.")).otherwise(F.lit("s.")), number)
-        return F.when(t.rlike("[^a-z0-9'’]"), reference).otherwise(F.regexp_replace(t, "['’]s$", ""))
+        return F.when(t.rlike("[^a-z0-9'’]"), reference).otherwise(bare(t))
 
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0), named)
+    words = F.regexp_extract_all(low, F.lit(WORD), 0)
+    apostrophe = F.contains(low, F.lit("'")) | F.contains(low, F.lit("’"))
+    full = F.transform(F.regexp_extract_all(low, F.lit(TOKEN), 0), named)
+    return F.when(low.rlike(r"(?U)\d"), full).when(apostrophe, F.transform(words, bare)).otherwise(words)
 
 
 def is_reference(token: Column) -> Column:
