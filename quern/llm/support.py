@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
-    return _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quern-"))
+    key = spark.sparkContext.applicationId
+    if key not in _LOCAL:
+        folder = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL[key] = "file://" + folder
+    return _LOCAL[key]
 
 
 class Scratch:
