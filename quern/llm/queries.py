@@ -110,4 +110,76 @@ n AS (SELECT u AS vec_id, count(*) AS n_links FROM links GROUP BY u)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)
 """
 
-ORACLES: dict[str, str] = {"op9_embedding_dedup": OP9_SQL, "op10_minhash": OP10_SQL}
+#: The placement table is a literal; placing rows by it is what is checked here, tests check the table.
+OP7_SQL = f"""
+WITH slots AS (SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {sharding.TABLE_SIZE} AS INTEGER) AS slot FROM documents)
+SELECT doc_id, slot, CAST({sharding.lookup_table(sharding.shard_names(sharding.N_SHARDS))}[slot + 1] AS INTEGER) AS shard FROM slots
+"""
+
+#: Waterfilled targets, hash-shuffled lines of words, golden-ratio slots. Ids are taken to be unique.
+OP6_SQL = rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('0' || chr(31) || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents),
+total AS (SELECT count(*) AS n, sum(size)::BIGINT AS words, greatest(1, ceil(sum(size) / {mixing.N_SLOTS}))::BIGINT AS block FROM sized),
+src AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size) AS cap,
+    row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS rank, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1] AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT (words - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level FROM src, total
+  WINDOW before AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+aims AS (SELECT *, least(cap, (SELECT max(level) FROM levels) * weight) AS target FROM src),
+parts AS (SELECT *, sum(target) OVER (ORDER BY rank) / sum(target) OVER () AS hi FROM aims),
+points AS (SELECT j, (j + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((j + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) AS u, block FROM total, UNNEST(range(0, ceil(words / block)::BIGINT)) AS t(j)),
+slots AS (
+  SELECT rank, j, row_number() OVER (PARTITION BY rank ORDER BY j) - 1 AS k, ceil(source_size / block)::BIGINT AS blocks
+  FROM points JOIN (SELECT *, hi - target / (SELECT sum(target) FROM aims) AS lo FROM parts WHERE target > 0) ON u >= lo AND u < hi),
+reads AS (SELECT rank, k % blocks AS b, count(*) AS times FROM slots WHERE k // blocks < 3 GROUP BY ALL),
+laid AS (
+  SELECT s.*, a.rank, a.source_size, a.target, coalesce(sum(size) OVER (PARTITION BY a.rank ORDER BY h % greatest(1, floor(sqrt(n))::BIGINT), h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, block
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source, total),
+cut AS (
+  SELECT doc_id, rank, b, least(start + size, (b + 1) * block) - greatest(start, b * block) AS w FROM laid, UNNEST(range(start // block, (start + size - 1) // block + 1)) AS t(b) WHERE size > 0),
+got AS (SELECT doc_id, sum(w * times) AS taken FROM cut JOIN reads USING (rank, b) GROUP BY doc_id)
+SELECT doc_id, source, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM laid LEFT JOIN got USING (doc_id)
+"""
+
+_TEMPLATES = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(licenses.TEMPLATES, 1))
+_WORDS_OF = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
+_COUNT = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
+
+#: TF-IDF cosines of candidate lines to the templates, then the nearest license file above.
+OP8_SQL = rf"""
+WITH tpl(i, name, text) AS (VALUES {_TEMPLATES}),
+tw AS (SELECT i, w, count(*) AS tf FROM (SELECT i, unnest({_WORDS_OF.format("text")}) AS w FROM tpl) GROUP BY ALL),
+ln AS (
+  SELECT doc_id, pos, ls[pos] AS line FROM (SELECT doc_id, str_split(text, chr(10)) AS ls FROM documents WHERE contains(lower(text), 'licens')), UNNEST(range(1, len(ls) + 1)) AS t(pos)
+  WHERE contains(lower(ls[pos]), 'licens')),
+lw AS (SELECT doc_id, pos, w, count(*) AS tf FROM (SELECT doc_id, pos, unnest({_WORDS_OF.format("line")}) AS w FROM ln) GROUP BY ALL),
+n AS (SELECT count(*) + (SELECT count(*) FROM tpl) AS n FROM ln),
+df AS (SELECT w, count(*) AS df FROM (SELECT w FROM lw WHERE w IN (SELECT w FROM tw) UNION ALL SELECT w FROM tw) GROUP BY w),
+idf AS (SELECT w, ln((1 + n) / (1 + df)) + 1 AS v FROM df, n),
+tv AS (SELECT i, w, tf * v AS x FROM tw JOIN idf USING (w)),
+lv AS (SELECT doc_id, pos, w, tf * coalesce(v, (SELECT ln(1 + n) + 1 FROM n)) AS x FROM lw LEFT JOIN idf USING (w)),
+tn AS (SELECT i, sqrt(sum(x * x)) AS norm FROM tv GROUP BY i),
+lnorm AS (SELECT doc_id, pos, sqrt(sum(x * x)) AS norm FROM lv GROUP BY ALL),
+cos AS (
+  SELECT l.doc_id, l.pos, t.i, round(sum(l.x * t.x) / (any_value(tn.norm) * any_value(lnorm.norm)), 9) AS score
+  FROM lv l JOIN tv t ON t.w = l.w JOIN tn ON tn.i = t.i JOIN lnorm ON lnorm.doc_id = l.doc_id AND lnorm.pos = l.pos GROUP BY l.doc_id, l.pos, t.i),
+best AS (SELECT * FROM cos WHERE score >= {licenses.MIN_COSINE} QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, i) = 1),
+top AS (SELECT doc_id, name, score FROM best JOIN tpl USING (i) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) = 1),
+held AS (SELECT doc_id, count(*) AS lines, sum({_COUNT.format("line")}) AS licensed FROM best JOIN ln USING (doc_id, pos) GROUP BY doc_id),
+files AS (
+  SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, name AS own_license, score, coalesce(lines, 0)::BIGINT AS n_license_lines,
+    coalesce(licensed >= {licenses.FILE_SHARE} * {_COUNT.format("text")}, false) AS is_license_file
+  FROM documents LEFT JOIN top USING (doc_id) LEFT JOIN held USING (doc_id)),
+dirs AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files),
+given AS (SELECT dir AS above, min(path) AS path, arg_min(own_license, path) AS lic FROM dirs WHERE is_license_file GROUP BY dir),
+ancestors AS (SELECT dir, d, array_to_string(parts[1:d], '/') AS above FROM (SELECT DISTINCT dir, str_split(dir, '/') AS parts FROM dirs), UNNEST(range(0, len(parts) + 1)) AS t(d)),
+near AS (SELECT dir, path AS near_path, lic FROM ancestors JOIN given USING (above) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY d DESC) = 1)
+SELECT doc_id, path, own_license, score, n_license_lines, is_license_file, coalesce(own_license, lic) AS license, CASE WHEN own_license IS NULL THEN near_path END AS inherited_from
+FROM dirs LEFT JOIN near USING (dir)
+"""
+
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_sharding": OP7_SQL, "op8_licenses": OP8_SQL, "op9_embedding_dedup": OP9_SQL, "op10_minhash": OP10_SQL}
