@@ -389,4 +389,19 @@ ORACLES = {
     "rate_limit": "SELECT user_id, max(n) AS most, count(*) FILTER (n <= 3) AS allowed FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY user_id",
     "bounded_history": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5",
     "idempotent_saves": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL",
+    "search_request": _sql(
+        """SELECT CAST(row_number() OVER (ORDER BY round(net, 6) DESC, round(text, 6) DESC, doc_id) AS INTEGER) AS rank, doc_id, round(net, 6) AS score
+        FROM (SELECT doc_id, text, text * 0.35444 / 0.51212 + authority * 0.15768 / 0.51212 AS net FROM rscal) QUALIFY rank <= 20""",
+        """
+rq AS (SELECT term, count(*) AS qtf FROM (SELECT unnest(regexp_extract_all('und die thing que ofthe hation onerr', '[a-z0-9]+')) AS term) GROUP BY term),
+rw0 AS (SELECT term, (1 + log10(qtf)) * log10(n / df) AS w FROM rq JOIN adf USING (term), nd),
+rw AS (SELECT term, w / (SELECT sqrt(sum(w * w)) FROM rw0) AS w FROM rw0),
+rs AS (
+  SELECT doc_id, round(sum(rw.w * dw.w), 6) AS text FROM rw JOIN dw USING (term) JOIN docs USING (doc_id)
+  WHERE court IN ('SC', 'HC') AND (year(date) BETWEEN 2001 AND 2015 OR date IS NULL) GROUP BY doc_id),
+rtop AS (SELECT doc_id, text, ln(1 + coalesce(pop.n, 0)) AS authority FROM rs LEFT JOIN pop USING (doc_id) QUALIFY row_number() OVER (ORDER BY text DESC, doc_id) <= 1000),
+rscal AS (
+  SELECT doc_id, (text - min(text) OVER ()) / (max(text) OVER () - min(text) OVER ()) AS text, (authority - min(authority) OVER ()) / (max(authority) OVER () - min(authority) OVER ()) AS authority FROM rtop),
+""",
+    ),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import analysis, citations, statutes, urls
-from quern.operators import crawl, evaluation, features, fusion, index, profiling, pruning, scoring, sessions, tolerant, tuning
+from quern.operators import crawl, evaluation, features, fusion, index, profiling, pruning, scoring, search, sessions, tolerant, tuning
 from quern.plans.compiler import Searcher
 from quern.sources.corpus import ROLES, ZONES, Corpus
 
@@ -663,3 +663,13 @@ def bounded_history(c):
 @query
 def idempotent_saves(c):
     return sessions.first_saves(c.table("events"), ["user_id", "event_type"], "event_id")
+
+
+# ---- one request
+
+
+@query
+def search_request(c):
+    """A pasted text, ranked by text and authority among documents of some courts."""
+    out = search.search(c, "und die thing que ofthe hation onerr", courts=["SC", "HC"], years=(2001, 2015), k=20)
+    return out.select("rank", "doc_id", F.round("score", 6).alias("score"))

@@ -192,3 +192,22 @@ def test_queries_run_without_the_llm_folder():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_seams():
+    from quern.functions import statutes as names
+    from quern.plans import protocols
+
+    assert isinstance(scoring.bm25, protocols.Ranker) and isinstance(names.extract, protocols.StatuteNormalizer)
+
+
+def test_statute_channel(spark):
+    scores = spark.createDataFrame([(1, "p1", 3.0), (1, "p2", 1.0), (1, "p3", 0.0)], "qid long, doc_id string, score double")
+    pred = statutes.predicted(scores, 2)
+    assert {r["doc_id"]: r["weight"] for r in pred.collect()} == {"p1": 0.75, "p2": 0.25}
+    held = spark.createDataFrame([(7, "p1"), (8, "p2"), (9, "p1"), (9, "p2")], "doc_id long, id string")
+    idf = spark.createDataFrame([("p1", 1.0), ("p2", 2.0)], "id string, idf double")
+    got = {r["doc_id"]: r["channel"] for r in statutes.channel(pred, held, idf).collect()}
+    assert got == {7: pytest.approx(0.375), 8: pytest.approx(0.25), 9: pytest.approx(0.625)}
+    gold = spark.createDataFrame([(1, "p1"), (1, "p9")], "qid long, id string")
+    assert statutes.recall(pred, gold).first()["recall"] == 0.5
