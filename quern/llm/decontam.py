@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .support import small_batches
 
 MAX_EDIT = 0.2
 MIN_WORDS = 5
@@ -240,6 +241,7 @@ def _blocks(benchmark: DataFrame, key: str):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, distance, item_words, end_word): the items found in each document."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, distance int, item_words int, end_word int"
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     out = docs.sparkSession.createDataFrame([], schema)
@@ -267,6 +269,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item was found."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for items in _blocks(benchmark.select(F.col("item_id").cast("long"), "text"), "item_id"):
 

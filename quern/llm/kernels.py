@@ -1,6 +1,6 @@
 """Vectorised byte and word kernels over Arrow string columns, shared by the operators.
 
-All work goes over pieces of a few MB, so memory is bounded by the piece (or by
+All work goes over pieces of a MB, so memory is bounded by the piece (or by
 one document where that is longer), not by the partition.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}

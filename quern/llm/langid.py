@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .support import Scratch, md5_long
+from .support import Scratch, md5_long, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -222,6 +222,8 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network:
 def identify(docs: DataFrame, network: Network) -> DataFrame:
     """Rows (doc_id, lang_pred, score)."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             names, scores = network.predict(batch.column(1))

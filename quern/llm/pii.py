@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import Scratch, md5_long
+from .support import Scratch, md5_long, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_ROWS, TRAIN_WORDS = 4000, 400
@@ -339,6 +339,7 @@ SPAN = "struct<kind:string,start:long,end:long>"
 
 def detect(docs: DataFrame, field: Field) -> DataFrame:
     """Rows (doc_id, base, spans): arrays of kind, start and end, by kind as in ``KINDS``, then start."""
+    small_batches(docs.sparkSession)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     names = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in spans]
 

@@ -30,10 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[key]
 
 
+#: Rows that a Python worker gets at a time, at most.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows, so that long texts don't fill a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(spark.conf.get(key))
+    if have <= 0 or have > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Written tables that cut lineage: a lost executor costs a read, not a recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import Scratch, md5_long
+from .support import Scratch, md5_long, small_batches
 
 TRAIN_ROWS = 4000
 LEXICON, CANDIDATES = 5000, 20000
@@ -217,6 +217,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Rows (doc_id, score, predicted)."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             p = np.round(model.scores(batch.column(1).to_pylist()), 9)
@@ -227,6 +229,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that score less than ``TOXIC_SCORE``."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
