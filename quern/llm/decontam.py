@@ -18,8 +18,8 @@ if some part of it is within ``MAX_EDIT`` * L word edits of the item.
    at the greatest distance as the tests state it.
 3. Each candidate is verified by exact semi-global edit distance.
 
-Items go to the executors in blocks of ``ITEMS_A_BLOCK``, so what a task holds
-is bounded; documents never shuffle. Whole texts are read.
+Items go to the executors in blocks of ``ITEMS_A_BLOCK`` items or
+``CHARS_A_BLOCK`` characters, so what a task holds is bounded; documents never shuffle. Whole texts are read.
 
 Defined cases: null or empty texts match nothing; items of fewer than
 ``MIN_WORDS`` words are too common to tell and are not searched; an item that
@@ -41,7 +41,7 @@ from .support import small_batches
 MAX_EDIT = 0.2
 MIN_WORDS = 5
 ANCHORS, REPEATS, SAMPLES = 5, 12, 2
-ITEMS_A_BLOCK = 5000
+ITEMS_A_BLOCK, CHARS_A_BLOCK = 5000, 4 << 20
 VOCABULARY_BITS = 20
 
 #: What parts words: all of ASCII but letters and digits.
@@ -228,13 +228,14 @@ def _scan(items: Items, at_once=K.PIECE):
 
 def _blocks(benchmark: DataFrame, key: str):
     """Items in blocks; the driver holds one block's texts at a time."""
-    ids, texts = [], []
+    ids, texts, size = [], [], 0
     for r in benchmark.select(key, "text").where(F.col("text").isNotNull()).toLocalIterator():
         ids.append(r[0])
         texts.append(r[1])
-        if len(ids) == ITEMS_A_BLOCK:
+        size += len(r[1])
+        if len(ids) == ITEMS_A_BLOCK or size >= CHARS_A_BLOCK:
             yield Items(ids, texts)
-            ids, texts = [], []
+            ids, texts, size = [], [], 0
     if ids:
         yield Items(ids, texts)
 
