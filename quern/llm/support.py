@@ -104,10 +104,12 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Least neighbours are written: a hub's rows then are in a plain exchange, which can be split.
+        least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.save(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        scratch.drop(least)
+        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
@@ -117,8 +119,8 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         )
         nxt = scratch.save(small)
         seen = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        scratch.drop(large)
-        scratch.drop(e)
+        for old in (large, least, e):
+            scratch.drop(old)
         e = nxt
         if (seen["n"], seen["h"]) == mark:
             heads = e.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()
