@@ -1,22 +1,17 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH over item-sized windows.
+"""Benchmark decontamination by pigeonhole pieces and exact edit distance.
 
 Texts are sequences of words (lower-cased; everything but letters, digits and
 non-ASCII bytes parts words). A document is contaminated by an item of L words
-if some part of it is within ``MAX_EDIT`` * L word edits of the item.
-
-1. An item is searched from ``ANCHORS`` of the words in its first half, those
-   that fewest items have. An item-sized window of a document starts where such
-   a word stands and goes on for what the item has left. All anchors being lost
-   to edits is the rarer the more there are.
-2. A CGK random walk reads a window: in step j it emits the word under it and
-   moves on by a random bit of (j, word). Windows within a few edits come back
-   into step, so the walks' Hamming distance is small. Each of ``REPEATS``
-   repetitions has its own walk and, for each octave of lengths, samples
-   ``SAMPLES`` of its steps; windows that agree with an item in all of them are
-   candidates. Samples are compared as the walk reaches them, so few windows
-   walk far. Measured recall is over 0.99 at half the greatest distance, and
-   at the greatest distance as the tests state it.
-3. Each candidate is verified by exact semi-global edit distance.
+if some part of it is within k = ``MAX_EDIT`` * L word edits of the item.
+
+1. An item is cut in k + 1 pieces of equal length, up to a word, so two to five
+   words each. k edits touch k of them at most, so one piece at least stands
+   unchanged in any copy, wherever the edits are and however long the item is.
+2. Every word of a document starts a window for each length of pieces; windows
+   equal to a piece (by 64-bit hash) give the part of the document in which the
+   copy must lie: k words more than the item on both sides.
+3. Parts of one item that overlap are joined, and each is verified by exact
+   semi-global edit distance. Nothing within the distance is missed.
 
 Items go to the executors in blocks of ``ITEMS_A_BLOCK`` items or
 ``CHARS_A_BLOCK`` characters, so what a task holds is bounded; documents never shuffle. Whole texts are read.
@@ -40,9 +35,10 @@ from .support import small_batches
 
 MAX_EDIT = 0.2
 MIN_WORDS = 5
-ANCHORS, REPEATS, SAMPLES = 5, 12, 2
 ITEMS_A_BLOCK, CHARS_A_BLOCK = 5000, 4 << 20
-VOCABULARY_BITS = 20
+FILTER_BITS = 20
+#: Hits of pieces that are looked at together.
+HITS_AT_ONCE = 1 << 20
 
 #: What parts words: all of ASCII but letters and digits.
 GAP = np.zeros(256, bool)
@@ -85,7 +81,7 @@ def alignment(pattern: list[int], text: list[int]) -> tuple[int, int]:
 
 
 class Items:
-    """A block of items with the samples of their windows' walks."""
+    """A block of items with their pieces by length."""
 
     def __init__(self, ids: list, texts: list):
         data, at = K.string_bytes(pa.array(texts, pa.string()))
@@ -94,113 +90,81 @@ class Items:
         self.items = [(i, w) for i, w in every if len(w) >= MIN_WORDS and i is not None]
         self.lists = [w.tolist() for _, w in self.items]
         self.sets = [set(w) for w in self.lists]
-        df = dict(zip(*np.unique(np.concatenate([np.unique(w) for _, w in self.items] or [hashes[:0]]), return_counts=True), strict=True))
-        #: (item, words before the anchor, the item's words from the anchor on)
-        windows = []
+        self.sizes = np.array([len(w) for w in self.lists], np.int64)
+        self.edits = np.array([edits(len(w)) for w in self.lists], np.int64)
+        found: dict[int, list] = {}
         for n, (_, w) in enumerate(self.items):
-            half = range(max(1, len(w) // 2))
-            for at_ in sorted(half, key=lambda i: (df[w[i]], i))[:ANCHORS]:
-                windows.append((n, at_, w[at_:]))
-        self.starts = np.zeros(1 << VOCABULARY_BITS, bool)
-        self.starts[low_bits(np.array([w[0] for _, _, w in windows], K.U64))] = True
-        self.octaves = []
-        lo = 1
-        while any(len(w) >= lo for _, _, w in windows):
-            members = [x for x in windows if lo <= len(x[2]) < 2 * lo]
-            if members:
-                self.octaves.append([self._samples(members, lo, r) for r in range(REPEATS)])
-            lo *= 2
-
-    def _samples(self, members: list, lo: int, repeat: int):
-        """The steps sampled, and for each prefix of the samples the sorted keys of the windows; last, whose keys they are."""
-        draw = np.random.default_rng([20240229, lo, repeat])
-        free = np.arange(1, max(2, int(1.5 * lo)))
-        steps = np.concatenate([[0], np.sort(draw.choice(free, min(SAMPLES, len(free)), replace=False))])
-        flat = np.concatenate([w for _, _, w in members])
-        at = np.cumsum([0] + [len(w) for _, _, w in members])
-        walk = Walk(flat, at[:-1].copy(), at[1:], repeat)
-        key, prefixes = np.zeros(len(members), K.U64), []
-        for s in steps.tolist():
-            key = K.mix64(key + walk.emit(s))
-            prefixes.append(key)
-        order = np.argsort(prefixes[-1], kind="stable")
-        owner = np.array([(n, before) for n, before, _ in members], np.int64)[order]
-        return steps, [np.unique(p) for p in prefixes[:-1]], prefixes[-1][order], owner
+            cuts = [len(w) * i // (edits(len(w)) + 1) for i in range(edits(len(w)) + 2)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                found.setdefault(b - a, []).append((n, a, w[a:b]))
+        #: (length, filter of low bits, sorted keys of the pieces, their items and places in these)
+        self.pieces = []
+        for size, rows in sorted(found.items()):
+            keys = np.concatenate([window_keys(w, (size,))[size] for _, _, w in rows])
+            order = np.argsort(keys, kind="stable")
+            there = np.zeros(1 << FILTER_BITS, bool)
+            there[low_bits(keys)] = True
+            self.pieces.append((size, there, keys[order], np.array([(n, a) for n, a, _ in rows], np.int64)[order]))
 
 
 def low_bits(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes >> K.U64(20)) & K.U64((1 << VOCABULARY_BITS) - 1)).astype(np.int64)
-
-
-class Walk:
-    """Random walks over the words from many places at once."""
-
-    def __init__(self, hashes: np.ndarray, place: np.ndarray, end: np.ndarray, repeat: int):
-        self.hashes, self.place, self.end, self.repeat, self.step = hashes, place, end, repeat, 0
-
-    def _under(self) -> np.ndarray:
-        return self.hashes[np.minimum(self.place, len(self.hashes) - 1)]
-
-    def emit(self, step: int) -> np.ndarray:
-        """Moves all walks to ``step`` and returns the words under them; 0 beyond the end."""
-        while self.step < step:
-            # 64 random bits a word, one a step.
-            bits = K.mix64(self._under() ^ K.U64(1 + self.repeat * 64 + self.step // 64))
-            self.place = self.place + ((bits >> K.U64(self.step % 64)) & K.U64(1)).astype(np.int64)
-            self.step += 1
-        return np.where(self.place < self.end, self._under(), K.U64(0))
-
-    def keep(self, which: np.ndarray) -> None:
-        self.place, self.end = self.place[which], self.end[which]
-
-
-def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    return keys[at] == values
-
-
-def candidates(items: Items, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Rows (word, before, item): windows at ``word`` that collide with the item from its word ``before`` on."""
-    none = np.zeros((0, 3), np.int64)
-    starts = np.flatnonzero(items.starts[low_bits(hashes)])
-    if not len(starts):
-        return none
-    end = first[np.searchsorted(first, starts, "right")]
-    found = []
-    for samples in items.octaves:
-        for repeat, (steps, prefixes, keys, owners) in enumerate(samples):
-            walk = Walk(hashes, starts, end, repeat)
-            own, key = starts, np.zeros(len(starts), K.U64)
-            for k, s in enumerate(steps.tolist()):
-                key = K.mix64(key + walk.emit(s))
-                alive = np.flatnonzero(among(key, prefixes[k] if k < len(prefixes) else keys))
-                own, key = own[alive], key[alive]
-                walk.keep(alive)
-                if not len(own):
-                    break
-            if len(own):
-                a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                times = b - a
-                which = np.repeat(a - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-                got = owners[which]
-                found.append(np.stack([np.repeat(own, times), got[:, 1], got[:, 0]], axis=1))
-    if not found:
-        return none
-    return np.unique(np.concatenate(found), axis=0)
+    return (hashes & K.U64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def window_keys(hashes: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """For each length, the keys of the windows that start at each word (without regard to where rows end)."""
+    factor = K.mix64(np.arange(1, max(lengths, default=0) + 1, dtype=K.U64)) | K.U64(1)
+    sums, out = np.zeros(len(hashes), K.U64), {}
+    for j in range(min(max(lengths, default=0), len(hashes))):
+        sums = sums[: len(hashes) - j] + hashes[j:] * factor[j]
+        if j + 1 in lengths:
+            out[j + 1] = K.mix64(sums + K.U64(j + 1))
+    return out
+
+
+def hits(items: Items, hashes: np.ndarray, first: np.ndarray):
+    """Arrays (row, item, word of the row's text where the item would start), some at a time: each window equal to a piece."""
+    keys = window_keys(hashes, tuple(size for size, *_ in items.pieces))
+    for size, there, pieces, owners in items.pieces:
+        if size not in keys:
+            continue
+        at = np.flatnonzero(there[low_bits(keys[size])])
+        key = keys[size][at]
+        a, b = np.searchsorted(pieces, key, "left"), np.searchsorted(pieces, key, "right")
+        row = np.searchsorted(first, at, "right") - 1
+        real = (b > a) & (at + size <= first[row + 1])
+        at, row, a, times = at[real], row[real], a[real], (b - a)[real]
+        ends = np.cumsum(times)
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + HITS_AT_ONCE, "right")))
+            n = times[i:j]
+            which = np.repeat(a[i:j] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            item, before = owners[which].T
+            yield np.repeat(row[i:j], n), item, np.repeat(at[i:j], n) - before
+            i = j
+
+
+def parts(items: Items, hashes: np.ndarray, first: np.ndarray):
+    """Rows (row, item, lo, hi): the parts of the text, joined where they overlap, outside of which the item has no copy."""
+    for row, item, start in hits(items, hashes, first):
+        k = items.edits[item]
+        lo, hi = np.maximum(first[row], start - k), np.minimum(first[row + 1], start + items.sizes[item] + k)
+        order = np.lexsort((lo, item, row))
+        row, item, lo, hi = row[order], item[order], lo[order], hi[order]
+        # Both bounds rise together, so the part before is the one that reaches furthest.
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+        begin = np.flatnonzero(new)
+        last = np.concatenate([begin[1:], [len(row)]]) - 1
+        yield from zip(row[begin].tolist(), item[begin].tolist(), lo[begin].tolist(), hi[last].tolist(), strict=True)
 
 
 def matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(row, item, distance, word after its end) of every item found in a row."""
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    found = candidates(items, hashes, first)
-    rows = np.searchsorted(first, found[:, 0], "right") - 1
-    for row, (word, before, item) in zip(rows.tolist(), found.tolist(), strict=True):
-        size = len(items.lists[item])
-        k = edits(size)
-        lo, hi = max(int(first[row]), word - before - 2 * k), min(int(first[row + 1]), word - before + size + 2 * k)
-        have = best.get((row, item))
-        if have and have[0] == 0:
-            continue
+    for row, item, lo, hi in parts(items, hashes, first):
+        k = edits(len(items.lists[item]))
         part = hashes[lo:hi].tolist()
         # Each word of the item without an equal in the document costs an edit.
         if len(items.sets[item].difference(part)) > k:
@@ -208,6 +172,7 @@ def matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> list[tuple[i
         distance, at = alignment(items.lists[item], part)
         if distance <= k:
             got = (distance, lo + at - int(first[row]))
+            have = best.get((row, item))
             if not have or got < have:
                 best[row, item] = got
     return [(row, item, d, e) for (row, item), (d, e) in sorted(best.items())]

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +213,27 @@ def test_decontamination(spark):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0 and decontam.contaminated(empty(df), bench).count() == 0
 
 
+def found_in(items, texts):
+    """{(text, item): distance} by the kernels alone."""
+    block = decontam.Items(list(range(len(items))), [" ".join(w) for w in items])
+    return {(row, item): d for row, item, d, _ in decontam._scan(block)(pa.array([" ".join(t) for t in texts]))}
+
+
+def test_decontamination_contiguous_edits():
+    """All edits in one place, as many as allowed: a passage lost, or rewritten, at the start, the middle or the end."""
+    rng = random.Random(7)
+    items = [words(rng, rng.randrange(5, 64), 10**6).split() for _ in range(120)]
+    texts = []
+    for w in items:
+        k = decontam.edits(len(w))
+        for at in (0, (len(w) - k) // 2, len(w) - k):
+            for new in ([], ["rewritten"] * k):
+                texts.append(words(rng, 20).split() + w[:at] + new + w[at + k :] + words(rng, 20).split())
+    got = found_in(items, texts)
+    assert set(got) == {(i, i // 6) for i in range(len(texts))}
+    assert all(got[i, n] == edit_distance_to_part(items[n], texts[i]) for i, n in list(got)[::7])
+
+
 def test_alignment():
     rng = random.Random(6)
     for _ in range(300):
