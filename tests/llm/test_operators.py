@@ -234,6 +234,21 @@ def test_decontamination_contiguous_edits():
     assert all(got[i, n] == edit_distance_to_part(items[n], texts[i]) for i, n in list(got)[::7])
 
 
+@pytest.mark.parametrize("length", [200, 600, 2000])
+def test_decontamination_long_items(length):
+    """As many edits as allowed, spread over the item: words changed, lost and added."""
+    rng = random.Random(length)
+    items = [words(rng, length, 10**6).split() for _ in range(20)]
+    texts = []
+    for w in items:
+        copy = list(w)
+        for at in sorted(rng.sample(range(length), decontam.edits(length)), reverse=True):
+            kind = rng.randrange(3)
+            copy[at : at + (kind != 0)] = ["new"] * (kind != 1)
+        texts.append(words(rng, 30).split() + copy + words(rng, 30).split())
+    assert set(found_in(items, texts)) == {(n, n) for n in range(20)}
+
+
 def test_alignment():
     rng = random.Random(6)
     for _ in range(300):
