@@ -1,11 +1,14 @@
 """Benchmark decontamination by pigeonhole pieces and exact edit distance.
 
 Texts are sequences of words (lower-cased; everything but letters, digits and
-non-ASCII bytes parts words). A document is contaminated by an item of L words
-if some part of it is within k = ``MAX_EDIT`` * L word edits of the item.
-
-1. An item is cut in k + 1 pieces of equal length, up to a word, so two to five
-   words each. k edits touch k of them at most, so one piece at least stands
+non-ASCII bytes parts words). Scripts written without blanks (Han, kana, Thai,
+Lao, Tibetan, Burmese, Khmer, Yi) have a word a character, and their punctuation
+parts words. A document is contaminated by an item of L words if some part of it
+is within k = ``MAX_EDIT`` * L word edits of the item, rounded down: items of
+fewer than five words must stand there word by word.
+
+1. An item is cut in k + 1 pieces of equal length, up to a word, so five words
+   each at most, and two at least unless the item has one word. k edits touch k of them at most, so one piece at least stands
    unchanged in any copy, wherever the edits are and however long the item is.
 2. Every word of a document starts a window for each length of pieces; windows
    equal to a piece (by 64-bit hash) give the part of the document in which the
@@ -16,11 +19,11 @@ if some part of it is within k = ``MAX_EDIT`` * L word edits of the item.
 Items go to the executors in blocks of ``ITEMS_A_BLOCK`` items or
 ``CHARS_A_BLOCK`` characters, so what a task holds is bounded; documents never shuffle. Whole texts are read.
 
-Defined cases: null or empty texts match nothing; items of fewer than
-``MIN_WORDS`` words are too common to tell and are not searched; an item that
-occurs several times in a document gives one row, with its least distance and
-then its first place; repeated rows give equal rows; equal items each give
-theirs; empty tables give an empty result. Only ids and texts are read.
+Defined cases: null texts and texts without words match nothing; an item with a
+null id is searched like any other; an item that occurs several times in a
+document gives one row, with its least distance and then its first place;
+repeated rows give equal rows; equal items each give theirs; empty tables give
+an empty result. Only ids and texts are read.
 """
 
 from __future__ import annotations
@@ -34,7 +37,6 @@ from . import kernels as K
 from .support import small_batches
 
 MAX_EDIT = 0.2
-MIN_WORDS = 5
 ITEMS_A_BLOCK, CHARS_A_BLOCK = 5000, 4 << 20
 FILTER_BITS = 20
 #: Hits of pieces that are looked at together.
@@ -46,11 +48,39 @@ GAP[:128] = True
 GAP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 
 
+#: Characters that are words, and characters that part words, as ranges of code points.
+SOLO = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FFF), (0x3005, 0x3007), (0x3021, 0x312F), (0x3190, 0x9FFF), (0xA000, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+PARTING = ((0x3000, 0x3004), (0x3008, 0x3020), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def within(code: np.ndarray, ranges: tuple) -> np.ndarray:
+    """Whether each code point is in one of the ascending ``ranges``."""
+    at = np.searchsorted(np.array([lo for lo, _ in ranges]), code, "right") - 1
+    return (at >= 0) & (code <= np.array([hi for _, hi in ranges])[at])
+
+
+def unspaced(low: np.ndarray) -> np.ndarray:
+    """Blanks out what parts words beyond ASCII, and returns where words of one character begin and end, in order."""
+    lead = np.flatnonzero(low >= 0xE0)
+    if not len(lead):
+        return lead
+    long = (low[lead] >= 0xF0).astype(np.int64)
+    byte = [np.take(low, lead + i, mode="clip").astype(np.int64) for i in range(4)]
+    code = (byte[0] & 15) << 12 | (byte[1] & 63) << 6 | byte[2] & 63
+    code = np.where(long, code << 6 | byte[3] & 63, code)
+    gone = lead[within(code, PARTING)]
+    for i in range(3):
+        low[gone + i] = 0x20
+    solo = within(code, SOLO)
+    return np.unique(np.concatenate([lead[solo], (lead + 3 + long)[solo]]))
+
+
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all rows (never 0), and the index of each row's first word."""
     low = K.LOWER[data]
-    start, end, first = K.word_bounds(low, at, GAP)
-    return K.word_hashes(low, start, end) | K.U64(1), first
+    cuts = unspaced(low)
+    start, end, first = K.word_bounds(low, np.union1d(at, cuts) if len(cuts) else at, GAP)
+    return K.word_hashes(low, start, end) | K.U64(1), np.searchsorted(start, at) if len(cuts) else first
 
 
 def edits(length: int) -> int:
@@ -87,7 +117,7 @@ class Items:
         data, at = K.string_bytes(pa.array(texts, pa.string()))
         hashes, first = words(data, at)
         every = [(i, hashes[a:b]) for i, a, b in zip(ids, first[:-1], first[1:], strict=True)]
-        self.items = [(i, w) for i, w in every if len(w) >= MIN_WORDS and i is not None]
+        self.items = [(i, w) for i, w in every if len(w)]
         self.lists = [w.tolist() for _, w in self.items]
         self.sets = [set(w) for w in self.lists]
         self.sizes = np.array([len(w) for w in self.lists], np.int64)

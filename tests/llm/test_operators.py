@@ -249,6 +249,28 @@ def test_decontamination_long_items(length):
     assert set(found_in(items, texts)) == {(n, n) for n in range(20)}
 
 
+def test_decontamination_short_unspaced_and_unnamed_items(spark):
+    thai, han = "ประเทศไทยมีเมืองหลวงชื่อว่ากรุงเทพมหานคร", "中国的首都是哪个城市？请回答。"
+    items = [(1, "What is 2 + 2?"), (2, han), (3, thai), (None, "one item that has no number at all"), (5, "日本"), (6, "?!"), (7, "𠀀𠀁𠀂")]
+    docs = [
+        (0, "So: what IS 2+2 then", None, None),
+        (1, "what is 2 and 2", None, None),
+        (2, "前言" + han.replace("哪", "那") + "后记", None, None),
+        (3, "see " + thai + "ครับ", None, None),
+        (4, "here is one item that has no number at all.", None, None),
+        (5, "東京は日本の首都です", None, None),
+        (6, "日、本", None, None),
+        (7, "日 x 本 ?!", None, None),
+        (8, "a𠀀𠀁𠀂b 首都", None, None),
+        (9, "中国的城市", None, None),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"], r["item_words"]) for r in decontam.contaminated(frame(spark, docs), bench).collect()}
+    # Blanks and the signs of a script part words but are none: "日、本" is the item word by word.
+    assert got == {(0, 1, 0, 4), (2, 2, 1, 13), (3, 3, 0, len(thai)), (4, None, 0, 8), (5, 5, 0, 2), (6, 5, 0, 2), (8, 7, 0, 3)}
+    assert {r["doc_id"] for r in decontam.decontaminate(frame(spark, docs), bench).collect()} == {1, 7, 9}
+
+
 def test_alignment():
     rng = random.Random(6)
     for _ in range(300):
