@@ -12,6 +12,9 @@
    cumulative targets it names the slot's source. The k-th slot of a source
    reads block k modulo the source's blocks: first pass, second pass, and so on.
 4. Joining slots to blocks gives the words taken of each document.
+5. Blocks grow with the input, so a source that has or is owed fewer than
+   ``LEAST_BLOCKS`` of them gets no slots: its line is read from the start, over
+   and over, until its target is met to the word.
 
 Sums along a source never run in one task: a source is cut in hash buckets (or
 chunks of slots), summed inside each, and shifted by the sums of those before.
@@ -34,6 +37,7 @@ from .support import Scratch, md5_long, prefix_offsets
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 N_SLOTS = 1 << 19
+LEAST_BLOCKS = 1024
 SLOTS_A_CHUNK = 4096
 GRID = 1024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -100,8 +104,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, n_slots:
     """Rows (doc_id, key, source, size, source_size, target, taken, copies), one for each row of ``docs``.
 
     ``taken`` counts the words that the slots take, repeats included. ``copies``
-    is for mixes of whole documents: how often the block in which the document
-    starts is read.
+    is for mixes of whole documents: how often the block (or word) in which the
+    document starts is read.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     sizes = scratch.save(sized(docs))
@@ -111,9 +115,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, n_slots:
     named = src.withColumnRenamed("source", "_s").select("_s", "rank", "source_size", "target")
     rows = sizes.join(named, sizes["source"].eqNullSafe(F.col("_s"))).drop("_s")
     rows = scratch.save(laid_out(rows, n_docs, seed))
-    reads = schedule(src, -(-words // block), block, max_repeat).groupBy("rank", "block").agg(F.count("*").alias("times"))
+    # Blocks of one word can't be made smaller.
+    by_word = F.lit(block > 1) & (F.least("target", "source_size") < LEAST_BLOCKS * block)
+    reads = schedule(src.where(~by_word), -(-words // block), block, max_repeat).groupBy("rank", "block").agg(F.count("*").alias("times"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.greatest("size", F.lit(1)) - 1) / block)
-    parts = rows.withColumn("block", F.explode(F.sequence(first, last)))
+    parts = rows.where(~by_word).withColumn("block", F.explode(F.sequence(first, last)))
     inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     parts = parts.select("rank", "start", "doc_id", "size", "block", inside.alias("words"), (F.col("block") == first).alias("first"))
     times = F.coalesce(F.col("times"), F.lit(0))
@@ -127,10 +133,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, n_slots:
     full = F.col("size") > 0
     out = rows.join(got, ["rank", "start"], "left")
     zero = F.lit(0)
+    owed = F.round("target").cast("long")
+    line = F.greatest("source_size", F.lit(1))
+    passes, rest = F.floor(owed / line), owed % line
+    read = passes * F.col("size") + F.greatest(zero, F.least(F.col("size"), rest - F.col("start")))
     return out.select(
         "doc_id", "key", "source", "size", "source_size", "target",
-        F.when(full, F.coalesce("taken", zero)).otherwise(zero).cast("long").alias("taken"),
-        F.when(full, F.coalesce("copies", zero)).otherwise(zero).cast("long").alias("copies"),
+        F.when(full & by_word, read).when(full, F.coalesce("taken", zero)).otherwise(zero).cast("long").alias("taken"),
+        F.when(full & by_word, passes + (F.col("start") < rest).cast("int")).when(full, F.coalesce("copies", zero)).otherwise(zero).cast("long").alias("copies"),
     )
 
 

@@ -367,6 +367,31 @@ def test_mixing_caps_small_sources(spark):
     assert taken == {"a": 9, "z": 3}
 
 
+def test_mixing_small_sources_where_blocks_are_large(spark):
+    """Each source's words come near its own target, also those of less than a block."""
+    rng = random.Random(11)
+    sizes = {"a": 150000, "b": 9, "c": 70000, "d": 40, "e": 200, "f": 3000, None: 25}
+    rows = []
+    for s, left in sizes.items():
+        while left:
+            n = min(left, rng.randrange(1, 300))
+            rows.append((len(rows), words(rng, n), None, s))
+            left -= n
+    rows.append((len(rows), "", None, "without words"))
+    df = frame(spark, rows)
+    got = mixing.mix(df, n_slots=1 << 12).collect()
+    assert -(-sum(sizes.values()) // (1 << 12)) > 50
+    for s, size in sizes.items():
+        own = [r for r in got if r["source"] == s]
+        assert own[0]["source_size"] == size
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 + 0.01 * own[0]["target"]
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in own)
+    tiny = [r for r in got if r["target"] == 3 * r["source_size"] > 0]
+    assert {r["source"] for r in tiny} >= {"b", "d", None} and all(r["copies"] == 3 for r in tiny)
+    out = {r["source"]: r["count"] for r in mixing.apply(df, n_slots=1 << 12).groupBy("source").count().collect()}
+    assert out["b"] == 3 * sum(r[3] == "b" for r in rows)
+
+
 def test_mixing_whole_documents(docs):
     df, rows = docs
     out = mixing.apply(df)
