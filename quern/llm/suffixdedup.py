@@ -9,23 +9,31 @@ A byte goes if a ``length``-byte string covers it that also starts anywhere else
    always meet at a kept suffix. Each suffix stands for the run of windows that
    elected it: ``h`` is its gram's hash, ``c`` a second hash of all the bytes
    of its windows with their offset.
-2. Levels. The suffixes come in batches. A batch's suffix array is its distinct
-   (h, c) in order, with counts; only equality of ``length`` bytes matters, so
-   arrays are in order of the suffixes' fingerprints, not of the alphabet. Two
-   levels of equal rank are scanned together and merge to one of the next rank,
-   so every entry is rewritten at most log2(batches) times, and new batches can
-   be added to a kept index.
-3. Long matches. An (h, c) that occurs twice: all windows of those suffixes
-   repeat. An h with several c: the suffixes agree in their gram but not in all
-   of their windows (near copies, common passages). For one suffix of each such
-   (h, c), its windows are split in runs of ``RUN`` by their distance from the
-   gram; a run's core is what all its windows share. Runs are matched like
-   suffixes, by core and by all bytes, and only of runs that share a core but
-   not all bytes are the windows themselves fingerprinted and counted by (h,
-   fingerprint). All keys are hashes of longer and longer strings, so the
-   hottest passage spreads over all tasks.
+2. Levels (:class:`LevelIndex`). Documents come in batches. A batch's suffix
+   array has its suffixes in alphabetical order (of their first 16 bytes; equal
+   ones by ``h``, then ``c``), equal (h, c) as one entry with their number, in
+   shards. A new array is merge-scanned against itself and every level: an
+   (h, c) met twice is a long match; an h met with several c is a partial one.
+   The scan writes these marks. Then two levels of equal rank merge to one of
+   the next, so an entry is rewritten at most log2(batches) times. Levels,
+   marks and suffixes are tables below one folder with a manifest: an index can
+   be closed, opened elsewhere, and be added to.
+3. Long matches. Marked (h, c): all windows of these suffixes repeat. Marked h:
+   the suffixes agree in their gram but not in all of their windows (near
+   copies, common passages). For one suffix of each of their (h, c), its
+   windows are split in runs of ``RUN`` by their distance from the gram; a
+   run's core is what all its windows share. Runs are matched like suffixes, by
+   core and by all bytes, and only of runs that share a core but not all bytes
+   are the windows themselves fingerprinted and counted by (h, fingerprint).
+   All keys are hashes of longer and longer strings, so the hottest passage
+   spreads over all tasks.
 4. The windows that repeat are laid over their documents and merged to spans.
 
+Shorter matches are reported and not removed: ``n_passages`` counts a
+document's kept suffixes around which ``PASSAGE`` bytes also stand elsewhere. A
+passage of over 50 words that is too short for a whole window is seen this way,
+if its least gram is kept in both places (most are; see the README).
+
 Documents without a repeat never leave their scan but for ids and digests; the
 texts of the others are found by a fixed-size key filter and a join.
 
@@ -38,16 +46,19 @@ empty result. Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .support import Scratch, key_filter
 
 LENGTH, GRAM, RUN, BATCHES = 400, 64, 32, 4
+#: Bytes of a passage that is reported, and the distances between the places at which it may lie around a gram.
+PASSAGE, STEP = 224, 32
 #: Bytes hashed at a time; a gram's place must fit in the low bits of its rank.
 SEGMENT_BITS = 20
 OTHER_BASE = 0xD1342543DE82EF95
@@ -65,8 +76,9 @@ def segments(at: np.ndarray, length: int):
 
 
 def suffixes(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Arrays (row, at, h, c) of the kept suffixes; ``at`` packs the first window (from the
-    row's first byte), the number of windows, and the gram's distance from the first window."""
+    """Arrays (row, at, h, c, head, next) of the kept suffixes; ``at`` packs the first window (from the
+    row's first byte), the number of windows, and the gram's distance from the first window;
+    ``head`` and ``next`` are the suffix's first 16 bytes as integers in alphabetical order."""
     found = []
     shift = K.U64(SEGMENT_BITS)
     for i, j, lo, hi in segments(at, length):
@@ -104,13 +116,24 @@ def suffixes(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
         c = (h2[b] - h2[a]) * K.powers(n + 1, OTHER_BASE)[1][a]
         c = K.mix64(c + offset.astype(K.U64) * K.U64(0x9FB21C651E98DF25) + (stop - first).astype(K.U64) * K.U64(0xA24BAED4963EE407))
         row = np.searchsorted(at, first + lo, "right") - 1
-        found.append((row, (first + lo - at[row]) << 18 | (stop - first) << 9 | offset, g[place[first]], c))
+        found.append((row, (first + lo - at[row]) << 18 | (stop - first) << 9 | offset, g[place[first]], c, *heads(part, place[first])))
     if not found:
         z = np.zeros(0, np.int64)
-        return z, z, z.view(K.U64), z.view(K.U64)
+        return z, z, z.view(K.U64), z.view(K.U64), z, z
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def heads(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 16 bytes at each place as two integers whose order is that of the bytes."""
+    out = []
+    for lo in (0, 8):
+        v = np.zeros(len(place), K.U64)
+        for i in range(lo, lo + 8):
+            v = v << K.U64(8) | data[place + i].astype(K.U64)
+        out.append(K.signed(v ^ K.U64(1 << 63)))
+    return out[0], out[1]
+
+
 def window_prints(data: np.ndarray, start: int, windows: int, length: int = LENGTH) -> np.ndarray:
     """Fingerprints of ``windows`` consecutive windows of ``data`` from ``start``."""
     h = K.prefix_hash(data[start : start + windows + length - 1], OTHER_BASE)
@@ -131,19 +154,35 @@ def window_runs(data: np.ndarray, start: int, windows: int, offset: int, length:
     return q, first, last - first + 1, core, full
 
 
+def passage_prints(data: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance to the gram at ``place``, fingerprint) of the strings of ``PASSAGE`` bytes around a gram."""
+    begin = place - np.arange(0, PASSAGE - GRAM + 1, STEP)
+    begin = begin[(begin >= 0) & (begin + PASSAGE <= len(data))]
+    if not len(begin):
+        return begin, begin.view(K.U64)
+    lo = int(begin[-1])
+    h = K.prefix_hash(data[lo : int(begin[0]) + PASSAGE], OTHER_BASE)
+    at = begin - lo
+    return place - begin, K.mix64((h[at + PASSAGE] - h[at]) * K.powers(len(h), OTHER_BASE)[1][at])
+
+
 def _suffixes(length: int, gram: int):
     def run(batches):
         for batch in batches:
             data, at = K.string_bytes(batch.column(1))
-            row, place, h, c = suffixes(data, at, length, gram)
-            cols = [batch.column(0).take(pa.array(row)), pa.array(place), pa.array(K.signed(h)), pa.array(K.signed(c))]
-            yield pa.RecordBatch.from_arrays(cols, ["dkey", "at", "h", "c"])
+            row, place, h, c, head, following = suffixes(data, at, length, gram)
+            cols = [batch.column(0).take(pa.array(row)), pa.array(place), pa.array(K.signed(h)), pa.array(K.signed(c)), pa.array(head), pa.array(following)]
+            yield pa.RecordBatch.from_arrays(cols, ["dkey", "at", "h", "c", "head", "next"])
 
     return run
 
 
+#: ``q`` of a passage: this less its distance to the gram.
+PASSAGES = -1000
+
+
 def _runs(length: int):
-    """(dkey, text, entries of (at, h, n)) to (h, q, core, c, n, dkey, at) of the entries' runs."""
+    """(dkey, text, entries of (at, h, n)) to (h, q, core, c, n, dkey, at) of the entries' runs, and of passages around their grams."""
 
     def run(batches):
         for batch in batches:
@@ -152,9 +191,14 @@ def _runs(length: int):
             for i, entries in enumerate(batch.column(2).to_pylist()):
                 own = data[at[i] : at[i + 1]]
                 for e in entries:
-                    q, first, many, core, full = window_runs(own, e["at"] >> 18, e["at"] >> 9 & 511, e["at"] & 511, length)
+                    start, many, offset = e["at"] >> 18, e["at"] >> 9 & 511, e["at"] & 511
+                    q, first, windows, core, full = window_runs(own, start, many, offset, length)
                     k = len(q)
-                    out.append((np.full(k, e["h"]), q, K.signed(core), K.signed(full), np.full(k, e["n"]), np.full(k, keys[i]), first << 18 | many << 9))
+                    out.append((np.full(k, e["h"]), q, K.signed(core), K.signed(full), np.full(k, e["n"]), np.full(k, keys[i]), first << 18 | windows << 9))
+                    if e["n"] == 1:
+                        away, prints = passage_prints(own, start + offset)
+                        k = len(away)
+                        out.append((np.full(k, e["h"]), PASSAGES - away, K.signed(prints), K.signed(prints), np.ones(k, np.int64), np.full(k, keys[i]), np.full(k, e["at"])))
             if out:
                 cols = [np.concatenate(x) for x in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["h", "q", "core", "c", "n", "dkey", "at"])
@@ -225,56 +269,106 @@ def contested(scratch: Scratch, level: DataFrame, *key: str) -> DataFrame:
     return level.join(scratch.save(keys), [*key], "left_semi")
 
 
-class LevelIndex:
-    """Suffix arrays by rank; two of a rank merge to one of the next."""
+ENTRY = "dkey long, at long, h long, c long, head long, next long"
+ARRAY = "h long, c long, n long, dkey long, at long, head long, next long"
+MARK = "h long, c long"
+
 
-    def __init__(self, scratch: Scratch):
-        self.scratch = scratch
-        self.levels: dict[int, DataFrame] = {}
+class LevelIndex:
+    """Suffix arrays by rank below one folder; two of a rank merge to one of the next.
 
-    @staticmethod
-    def _array(entries: DataFrame) -> DataFrame:
-        return classes(entries, "h").sortWithinPartitions("h", "c")
+    A batch is added whole or not at all: the manifest, written last, names the
+    tables that count.
+    """
 
-    def add(self, batch: DataFrame) -> None:
-        """``batch(h, c, dkey, at)`` becomes a level of rank 0, and merges upwards."""
-        level, rank = self.scratch.save(self._array(batch.withColumn("n", F.lit(1).cast("long")))), 0
+    def __init__(self, spark: SparkSession, root: str | None = None, length: int = LENGTH, gram: int = GRAM):
+        self.scratch = Scratch(spark, "suffixes", root)
+        self.spark, self.length, self.gram = spark, length, gram
+        self.levels: dict[int, str] = {}
+        self.entries: list[str] = []
+        self.marks: list[str] = []
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> LevelIndex:
+        """The index that was written below ``root``."""
+        newest = spark.read.json(f"{root}/manifest").orderBy(F.desc("version")).first()
+        kept = json.loads(newest["tables"])
+        index = cls(spark, root, kept["length"], kept["gram"])
+        index.levels = {int(k): v for k, v in kept["levels"].items()}
+        index.entries, index.marks = kept["entries"], kept["marks"]
+        return index
+
+    def _commit(self) -> None:
+        kept = {"length": self.length, "gram": self.gram, "levels": self.levels, "entries": self.entries, "marks": self.marks}
+        row = self.spark.range(1).select(F.lit(len(self.entries)).alias("version"), F.lit(json.dumps(kept)).alias("tables"))
+        row.coalesce(1).write.mode("append").json(f"{self.scratch.root}/manifest")
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _array(self, entries: DataFrame) -> str:
+        """Writes the suffix array of ``entries`` and returns its place."""
+        one = entries.groupBy("h", "c").agg(F.sum("n").alias("n"), *[F.first(x).alias(x) for x in ("dkey", "at", "head", "next")])
+        return self.scratch.path_of(self.scratch.save(one.sortWithinPartitions("head", "next", "h", "c")))
+
+    def _scan(self, new: str) -> str:
+        """Marks of a new array met by itself and the levels: (h, c) of long matches, (h, null) of partial ones."""
+        both = self._read([new], ARRAY).select("h", "c", "n", F.lit(True).alias("new"))
+        for path in self.levels.values():
+            both = both.unionByName(self._read([path], ARRAY).select("h", "c", "n", F.lit(False).alias("new")))
+        met = both.groupBy("h", "c").agg(F.sum("n").alias("n"), F.max("new").alias("new"))
+        twice = met.where("new and n > 1").select("h", "c")
+        alike = met.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("new").alias("new")).where("new and lo < hi")
+        return self.scratch.path_of(self.scratch.save(twice.unionByName(alike.select("h", F.lit(None).cast("long").alias("c")))))
+
+    def add(self, entries: str) -> None:
+        """A batch of suffixes, written at ``entries``, becomes a level of rank 0, and merges upwards."""
+        rows = self._read([entries], ENTRY)
+        level, rank, old = self._array(rows.withColumn("n", F.lit(1).cast("long"))), 0, []
+        self.marks.append(self._scan(level))
         while rank in self.levels:
-            level, rank = self._merge(self.levels.pop(rank), level), rank + 1
+            old += [self.levels.pop(rank), level]
+            level, rank = self._array(self._read(old[-2:], ARRAY)), rank + 1
         self.levels[rank] = level
-
-    def _merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        out = self.scratch.save(self._array(a.unionByName(b)))
-        self.scratch.drop(a)
-        self.scratch.drop(b)
+        self.entries.append(entries)
+        self._commit()
+        for path in old:
+            self.scratch.drop_path(path)
         self.scratch.release()
-        return out
 
-    def all(self) -> DataFrame:
-        """The one level that is left when all are merged."""
-        for rank in sorted(self.levels):
-            level = self.levels.pop(rank)
-            self.levels = {0: self._merge(self.levels[0], level)} if 0 in self.levels and rank else {0: level}
-        return self.levels[0]
+    def add_documents(self, keyed: DataFrame, batches: int = 1) -> None:
+        """The suffixes of ``keyed(dkey, text)``, in ``batches`` batches."""
+        kept = keyed.where(F.octet_length("text") >= self.length).select("dkey", "text").mapInArrow(_suffixes(self.length, self.gram), ENTRY)
+        parts = self.scratch.path_of(self.scratch.save(kept.withColumn("batch", F.pmod(F.xxhash64("dkey"), F.lit(batches)).cast("int")), by="batch"))
+        have = {r["batch"] for r in self.spark.read.schema(ENTRY + ", batch int").parquet(parts).select("batch").distinct().collect()}  # ``batches`` rows at most
+        for b in sorted(have):
+            self.add(f"{parts}/batch={b}")
 
+    def suffixes(self) -> DataFrame:
+        return self._read(self.entries, ENTRY)
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
-    """(rows, removals): rows (doc_id, dkey, n_bytes, sha) of all documents; removals
-    (dkey, n_removed, n_spans, sha, spans of bytes [a, b)) of those that lose bytes.
+    def array(self) -> DataFrame:
+        """All levels as rows (h, c, n, dkey, at); an (h, c) of several levels has a row in each."""
+        return self._read(list(self.levels.values()), ARRAY).select("h", "c", "n", "dkey", "at")
 
-    ``dkey`` is a hash of id and text, so equal rows share it.
-    """
-    scratch = Scratch(docs.sparkSession, "suffixes")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dkey"), text.alias("text"))
-    rows = scratch.save(keyed.select("doc_id", "dkey", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
-    kept = keyed.where(F.octet_length("text") >= length).select("dkey", "text").mapInArrow(_suffixes(length, gram), "dkey long, at long, h long, c long")
-    kept = scratch.save(kept.withColumn("batch", F.pmod(F.xxhash64("dkey"), F.lit(batches)).cast("int")))
-    index = LevelIndex(scratch)
-    for b in range(batches):
-        index.add(kept.where(F.col("batch") == b).drop("batch"))
-    level = index.all()
-    repeats = bool(rows.groupBy("dkey").count().where("count > 1").limit(1).count())
+    def long_matches(self) -> DataFrame:
+        """(h, c) of suffixes all of whose windows repeat."""
+        return self._read(self.marks, MARK).where("c is not null").distinct()
+
+    def partial_matches(self) -> DataFrame:
+        """(h) of suffixes that agree in their gram, but not in all windows."""
+        return self._read(self.marks, MARK).where("c is null").select("h").distinct()
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, dkey, text); ``dkey`` is a hash of id and text, so equal rows share it."""
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dkey"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def spans_of(index: LevelIndex, keyed: DataFrame, repeats: bool) -> tuple[DataFrame, DataFrame]:
+    """(removals, passages) of the index's documents, whose texts are ``keyed(dkey, text)``:
+    (dkey, n_removed, n_spans, sha, spans of bytes [a, b)) of those that lose bytes, (dkey, n_passages) of those that share any."""
+    scratch, length = index.scratch, index.length
 
     def with_texts(entries: DataFrame, collected: str) -> DataFrame:
         by_doc = entries.groupBy("dkey").agg(F.expr(collected).alias("entries"))
@@ -286,28 +380,48 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     entry = "collect_list(struct(at, h, n))"
     first, many = F.shiftright("at", 18), F.shiftright("at", 9).bitwiseAND(F.lit(511))
     span = ("dkey", first.alias("a"), (first + many + (length - 1)).alias("b"))
-    whole = kept.join(level.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(*span)
+    twice, alike = scratch.save(index.long_matches()), scratch.save(index.partial_matches())
+    matched = scratch.save(index.suffixes().select("dkey", "at", "h", "c").join(twice, ["h", "c"], "left_semi").select("dkey", "at"))
+    whole = matched.select(*span)
 
-    runs = with_texts(contested(scratch, level, "h"), entry).mapInArrow(_runs(length), "h long, q long, core long, c long, n long, dkey long, at long")
-    runs = scratch.save(runs)
+    some = scratch.save(index.array().join(alike, "h", "left_semi"))
+    some = classes(some, "h") if len(index.levels) > 1 else some
+    runs = scratch.save(with_texts(some, entry).mapInArrow(_runs(length), "h long, q long, core long, c long, n long, dkey long, at long"))
     key = ("h", "q", "core")
     level = scratch.save(classes(runs, *key))
-    whole = whole.unionByName(runs.join(level.where("n > 1").select(*key, "c"), [*key, "c"], "left_semi").select(*span))
+    again = scratch.save(level.where("n > 1").select(*key, "c"))
+    met = runs.join(again, [*key, "c"], "left_semi")
+    whole = whole.unionByName(met.where(F.col("q") > PASSAGES).select(*span))
+    shared = matched.unionByName(met.where(F.col("q") <= PASSAGES).select("dkey", "at").distinct())
+    shared = shared.groupBy("dkey").agg(F.count("*").alias("n_passages"))
 
-    prints = with_texts(contested(scratch, level, *key), entry).mapInArrow(_prints(length), "h long, f long, n long, dkey long, w long")
+    prints = with_texts(contested(scratch, level.where(F.col("q") > PASSAGES), *key), entry).mapInArrow(_prints(length), "h long, f long, n long, dkey long, w long")
     prints = scratch.save(prints)
-    twice = prints.groupBy("h", "f").agg(F.sum("n").alias("t")).where("t > 1").select("h", "f")
-    lone = prints.where("n = 1").join(scratch.save(twice), ["h", "f"], "left_semi")
+    equal = prints.groupBy("h", "f").agg(F.sum("n").alias("t")).where("t > 1").select("h", "f")
+    lone = prints.where("n = 1").join(scratch.save(equal), ["h", "f"], "left_semi")
     whole = whole.unionByName(lone.select("dkey", F.col("w").alias("a"), (F.col("w") + length).alias("b")))
 
     spans = scratch.save(whole.distinct())
     removals = with_texts(spans, "collect_list(struct(a, b))").mapInArrow(_removals, "dkey long, n_removed long, n_spans long, sha string, spans array<struct<a:long,b:long>>")
-    return rows, scratch.save(removals)
+    return scratch.save(removals), scratch.save(shared)
+
 
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, index: LevelIndex | None = None) -> DataFrame:
+    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, spans (of bytes removed).
 
-def remove_repeats(docs: DataFrame, **options) -> DataFrame:
-    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (of bytes removed)."""
-    rows, gone = repeated_spans(docs, **options)
-    out = rows.join(gone.withColumnRenamed("sha", "left_sha"), "dkey", "left")
+    With an ``index`` that was made before, ``docs`` must hold the documents in it and those that are new.
+    """
+    new = index is None
+    index = LevelIndex(docs.sparkSession, None, length, gram) if new else index
+    scratch, keyed = index.scratch, keyed_texts(docs)
+    rows = scratch.save(keyed.select("doc_id", "dkey", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
+    if new:
+        index.add_documents(keyed, batches)
+    repeats = bool(rows.groupBy("dkey").count().where("count > 1").limit(1).count())
+    gone, shared = spans_of(index, keyed, repeats)
+    out = rows.join(gone.withColumnRenamed("sha", "left_sha"), "dkey", "left").join(shared, "dkey", "left")
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("left_sha", "sha").alias("kept_sha256"), "spans")
+    return out.select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
+        F.coalesce("left_sha", "sha").alias("kept_sha256"), F.coalesce("n_passages", zero).alias("n_passages"), "spans",
+    )

@@ -45,21 +45,24 @@ def small_batches(spark: SparkSession) -> None:
 class Scratch:
     """Written tables that cut lineage: a lost executor costs a read, not a recomputation."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
         small_batches(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
+        self.root = root or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
         """Write ``df`` as Parquet and return the table read back."""
-        self._n += 1
-        path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quern_path = path
         return out
 
+    @staticmethod
+    def path_of(df: DataFrame) -> str:
+        """Where a table made by :meth:`save` is."""
+        return df._quern_path
+
     def release(self) -> None:
         """Let Spark's cleaner drop shuffle files of finished steps, which it does as the driver collects garbage."""
         gc.collect()
@@ -69,9 +72,12 @@ class Scratch:
         """Delete a table made by :meth:`save` that no later step reads."""
         path = getattr(df, "_quern_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            self.drop_path(path)
+
+    def drop_path(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def md5_long(*cols: Column) -> Column:

@@ -314,13 +314,67 @@ def test_suffix_dedup_over_segments(spark, monkeypatch):
     a = words(rng, 4000, 10**6)
     blobs = [a, words(rng, 50) + a[3000:9000] + words(rng, 50), "x" * 9000]
     data, at = np.frombuffer("".join(blobs).encode(), np.uint8), np.cumsum([0] + [len(b) for b in blobs])
-    row, place, h, c = suffixdedup.suffixes(data, at)
+    row, place, *_ = suffixdedup.suffixes(data, at)
     windows = sum(place >> 9 & 511)
     assert windows == sum(max(0, len(b) - suffixdedup.LENGTH + 1) for b in blobs)
     covered = {(int(r), int((p >> 18) + k)) for r, p in zip(row, place, strict=True) for k in range(int(p >> 9 & 511))}
     assert len(covered) == windows
 
 
+def digests(df):
+    return sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect())
+
+
+def test_suffix_index_is_kept_opened_and_added_to(spark, tmp_path):
+    """Three batches one at a time, the index closed in between: as the brute force over all."""
+    rng = random.Random(21)
+    passage, other = words(rng, 90, 10**6), words(rng, 100, 10**6)
+    rows = [(i, words(rng, rng.randrange(5, 300), 10**6), None, None) for i in range(45)]
+    for i in range(0, 45, 7):
+        rows[i] = (i, f"{rows[i][1]} {passage} {words(rng, 30)}", None, None)
+    rows[44] = (44, other + rows[3][1] + other, None, None)
+    root = f"file://{tmp_path}/index"
+    for n, part in enumerate((rows[:20], rows[20:25], rows[25:])):
+        index = suffixdedup.LevelIndex(spark, root) if not n else suffixdedup.LevelIndex.open(spark, root)
+        index.add_documents(suffixdedup.keyed_texts(frame(spark, part)))
+    assert sorted(index.levels) == [0, 1] and len(index.marks) == 3
+    level = spark.read.parquet(index.levels[1])
+    part = level.select("head", "next", F.input_file_name().alias("p")).collect()
+    for p in {r["p"] for r in part}:
+        order = [(r["head"], r["next"]) for r in part if r["p"] == p]
+        assert order == sorted(order)
+    got = suffixdedup.remove_repeats(frame(spark, rows), index=suffixdedup.LevelIndex.open(spark, root))
+    want = brute_repeats([r[1].encode() for r in rows], suffixdedup.LENGTH)
+    assert digests(got) == sorted((r[0], *w) for r, w in zip(rows, want, strict=True))
+    assert sum(w[1] > 0 for w in want) > 8
+
+
+def test_suffix_heads_are_in_alphabetical_order():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 4000).astype(np.uint8)
+    place = np.arange(0, 3900, 3)
+    a, b = suffixdedup.heads(data, place)
+    order = np.lexsort((b, a))
+    assert [bytes(data[p : p + 16]) for p in place[order]] == sorted(bytes(data[p : p + 16]) for p in place)
+
+
+def test_suffix_dedup_reports_passages_too_short_to_go(spark):
+    """Passages of 51 to 58 words, under 400 bytes: reported and not removed; documents without any have none."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for i in range(60):
+        passage = text(rng.randrange(51, 59))
+        assert len(passage) < suffixdedup.LENGTH
+        rows += [(10 * i + k, f"{text(120)} {passage} {text(120)}", None, None) for k in range(4)]
+    rows += [(10 * i + 9, text(300), None, None) for i in range(60)]
+    got = {r["doc_id"]: r for r in suffixdedup.remove_repeats(frame(spark, rows)).collect()}
+    assert all(r["n_removed"] == 0 for r in got.values())
+    assert np.mean([got[i]["n_passages"] > 0 for i in got if i % 10 != 9]) > 0.9
+    assert all(got[i]["n_passages"] == 0 for i in got if i % 10 == 9)
+
+
 def test_suffix_dedup_empty(docs):
     assert suffixdedup.remove_repeats(empty(docs[0])).count() == 0
 
