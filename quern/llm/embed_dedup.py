@@ -9,7 +9,8 @@
    cells two radii wide, takes each vector at its home cell and, as a probe, at
    every cell its ball touches. Only pairs within the block's budget come out.
 4. The union of the blocks' candidates is verified with the exact cosine, in
-   double precision.
+   double precision, of vectors brought to one scale by powers of two, so that
+   neither tiny nor huge ones lose a link or gain one.
 
 No pair at the threshold can be missed; rounding is covered by a slack in the
 block budgets, not in the verification.
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -97,6 +98,17 @@ def _probes(cosine: float):
     return run
 
 
+def scaled(v: Column) -> Column:
+    """A finite non-zero vector over a power of two, so that its largest component is in [1, 2).
+
+    No digit of it changes, and no sum of squares is too large or too small for a double.
+    """
+    power = F.floor(F.log2(F.array_max(F.transform(v, F.abs)))).cast("int")
+    # In two steps, as the reciprocal of the least double has no place among doubles.
+    half = F.floor(-power / F.lit(2.0)).cast("int")
+    return F.transform(v, lambda x: x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), -power - half))
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", label: str = "label", column: str = "embedding") -> DataFrame:
     """One row a vector: key, n_links, component_id, kept."""
     scratch = Scratch(vectors.sparkSession, "embeddings")
@@ -105,7 +117,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("cid", F.when(sound, F.xxhash64("label", "v")))
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("v").alias("v"), F.first(F.xxhash64("label")).alias("lab"))
-    classes = scratch.save(classes)
+    classes = scratch.save(classes.withColumn("v", scaled(F.col("v"))))
     schema = "cid long, lab long, home boolean, cell long, budget double, " + ", ".join(f"x{i} float" for i in range(WIDTH))
     cells = scratch.save(classes.select("cid", "lab", "v").mapInArrow(_probes(cosine), schema))
     a, b = cells.where("home").alias("a"), cells.where("not home").alias("b")
