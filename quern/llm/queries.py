@@ -145,40 +145,45 @@ got AS (SELECT doc_id, sum(w * times) AS taken FROM cut JOIN reads USING (rank,
 SELECT doc_id, source, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM laid LEFT JOIN got USING (doc_id)
 """
 
-_TEMPLATES = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(licenses.TEMPLATES, 1))
-_WORDS_OF = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
+_TEMPLATES = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(licenses.TEMPLATES))
+_WORDS_OF = "list_filter(regexp_split_to_array(replace(lower({}), 'licenc', 'licens'), '[^a-z0-9]+'), lambda w: w <> '')"
 _COUNT = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
 
-#: TF-IDF cosines of candidate lines to the templates, then the nearest license file above.
+#: TF-IDF cosines of all lines, blocks and texts to the templates, none left out before; then the nearest license file above.
 OP8_SQL = rf"""
 WITH tpl(i, name, text) AS (VALUES {_TEMPLATES}),
 tw AS (SELECT i, w, count(*) AS tf FROM (SELECT i, unnest({_WORDS_OF.format("text")}) AS w FROM tpl) GROUP BY ALL),
-ln AS (
-  SELECT doc_id, pos, ls[pos] AS line FROM (SELECT doc_id, str_split(text, chr(10)) AS ls FROM documents WHERE contains(lower(text), 'licens')), UNNEST(range(1, len(ls) + 1)) AS t(pos)
-  WHERE contains(lower(ls[pos]), 'licens')),
-lw AS (SELECT doc_id, pos, w, count(*) AS tf FROM (SELECT doc_id, pos, unnest({_WORDS_OF.format("line")}) AS w FROM ln) GROUP BY ALL),
-n AS (SELECT count(*) + (SELECT count(*) FROM tpl) AS n FROM ln),
-df AS (SELECT w, count(*) AS df FROM (SELECT w FROM lw WHERE w IN (SELECT w FROM tw) UNION ALL SELECT w FROM tw) GROUP BY w),
+docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT (SELECT count(*) FROM docs) + (SELECT count(*) FROM tpl) AS n),
+dw AS (SELECT unnest(list_distinct({_WORDS_OF.format("text")})) AS w FROM docs),
+df AS (SELECT w, count(*) AS df FROM (SELECT w FROM dw WHERE w IN (SELECT w FROM tw) UNION ALL SELECT w FROM tw) GROUP BY w),
 idf AS (SELECT w, ln((1 + n) / (1 + df)) + 1 AS v FROM df, n),
 tv AS (SELECT i, w, tf * v AS x FROM tw JOIN idf USING (w)),
-lv AS (SELECT doc_id, pos, w, tf * coalesce(v, (SELECT ln(1 + n) + 1 FROM n)) AS x FROM lw LEFT JOIN idf USING (w)),
 tn AS (SELECT i, sqrt(sum(x * x)) AS norm FROM tv GROUP BY i),
-lnorm AS (SELECT doc_id, pos, sqrt(sum(x * x)) AS norm FROM lv GROUP BY ALL),
-cos AS (
-  SELECT l.doc_id, l.pos, t.i, round(sum(l.x * t.x) / (any_value(tn.norm) * any_value(lnorm.norm)), 9) AS score
-  FROM lv l JOIN tv t ON t.w = l.w JOIN tn ON tn.i = t.i JOIN lnorm ON lnorm.doc_id = l.doc_id AND lnorm.pos = l.pos GROUP BY l.doc_id, l.pos, t.i),
-best AS (SELECT * FROM cos WHERE score >= {licenses.MIN_COSINE} QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, i) = 1),
-top AS (SELECT doc_id, name, score FROM best JOIN tpl USING (i) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) = 1),
-held AS (SELECT doc_id, count(*) AS lines, sum({_COUNT.format("line")}) AS licensed FROM best JOIN ln USING (doc_id, pos) GROUP BY doc_id),
+bl AS (SELECT doc_id, b - 1 AS b, str_split(trim(bs[b], chr(10)), chr(10)) AS ls FROM (SELECT doc_id, regexp_split_to_array(text, '\n[ \t\r]*\n') AS bs FROM docs), UNNEST(range(1, len(bs) + 1)) AS t(b)),
+un AS (
+  SELECT doc_id, b, l - 1 AS l, ls[l] AS unit FROM bl, UNNEST(range(1, len(ls) + 1)) AS t(l)
+  UNION ALL SELECT doc_id, b, -1, array_to_string(ls, chr(10)) FROM bl WHERE len(ls) > 1
+  UNION ALL SELECT doc_id, -1, -1, text FROM docs WHERE regexp_matches(text, '\n[ \t\r]*\n')),
+uw AS (SELECT doc_id, b, l, w, count(*) AS tf FROM (SELECT doc_id, b, l, unnest({_WORDS_OF.format("unit")}) AS w FROM un) GROUP BY ALL),
+uv AS (SELECT doc_id, b, l, w, tf * coalesce(v, (SELECT ln(1 + n) + 1 FROM n)) AS x FROM uw LEFT JOIN idf USING (w)),
+unorm AS (SELECT doc_id, b, l, sqrt(sum(x * x)) AS norm FROM uv GROUP BY ALL),
+dots AS (SELECT u.doc_id, u.b, u.l, t.i, sum(u.x * t.x) AS dot FROM uv u JOIN tv t ON t.w = u.w GROUP BY ALL HAVING count(*) >= {licenses.MIN_SHARED}),
+cos AS (SELECT d.doc_id, d.b, d.l, d.i, round(dot / (tn.norm * unorm.norm), 9) AS score FROM dots d JOIN tn ON tn.i = d.i JOIN unorm ON unorm.doc_id = d.doc_id AND unorm.b = d.b AND unorm.l = d.l),
+best AS (SELECT * FROM cos WHERE score >= {licenses.MIN_COSINE} QUALIFY row_number() OVER (PARTITION BY doc_id, b, l ORDER BY score DESC, i) = 1),
+counted AS (SELECT best.*, {_COUNT.format("unit")} AS words FROM best JOIN un USING (doc_id, b, l)),
+top AS (SELECT doc_id, name, score FROM best JOIN tpl USING (i) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, b, l, i) = 1),
+held AS (SELECT doc_id, sum(words) AS licensed FROM (SELECT doc_id, b, coalesce(max(words) FILTER (l < 0), sum(words)) AS words FROM counted WHERE b >= 0 GROUP BY ALL) GROUP BY doc_id),
+seen AS (SELECT doc_id, count(*) AS found, bool_or(b < 0) AS whole FROM best GROUP BY doc_id),
 files AS (
-  SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, name AS own_license, score, coalesce(lines, 0)::BIGINT AS n_license_lines,
-    coalesce(licensed >= {licenses.FILE_SHARE} * {_COUNT.format("text")}, false) AS is_license_file
-  FROM documents LEFT JOIN top USING (doc_id) LEFT JOIN held USING (doc_id)),
+  SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, name AS own_license, score, coalesce(found, 0)::BIGINT AS n_matches,
+    coalesce(whole OR coalesce(licensed, 0) >= {licenses.FILE_SHARE} * {_COUNT.format("text")}, false) AS is_license_file
+  FROM documents LEFT JOIN top USING (doc_id) LEFT JOIN held USING (doc_id) LEFT JOIN seen USING (doc_id)),
 dirs AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files),
 given AS (SELECT dir AS above, min(path) AS path, arg_min(own_license, path) AS lic FROM dirs WHERE is_license_file GROUP BY dir),
 ancestors AS (SELECT dir, d, array_to_string(parts[1:d], '/') AS above FROM (SELECT DISTINCT dir, str_split(dir, '/') AS parts FROM dirs), UNNEST(range(0, len(parts) + 1)) AS t(d)),
 near AS (SELECT dir, path AS near_path, lic FROM ancestors JOIN given USING (above) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY d DESC) = 1)
-SELECT doc_id, path, own_license, score, n_license_lines, is_license_file, coalesce(own_license, lic) AS license, CASE WHEN own_license IS NULL THEN near_path END AS inherited_from
+SELECT doc_id, path, own_license, score, n_matches, is_license_file, coalesce(own_license, lic) AS license, CASE WHEN own_license IS NULL THEN near_path END AS inherited_from
 FROM dirs LEFT JOIN near USING (dir)
 """
 
