@@ -1,14 +1,20 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
-Folding: lower case; letters of other scripts that look Latin become Latin;
-digits and signs that stand for letters become letters where they touch letters
-of a word; everything but letters becomes one blank.
+Folding: compatible forms (mathematical, full-width, circled letters) and lower
+case; accents go; letters of other scripts that look Latin become Latin; digits
+and signs that stand for letters become letters where they touch letters of a
+word; everything but letters becomes one blank.
 
 Lexicon: words and word beginnings, weighted by their log odds between toxic
-and clean training documents, less one standard error. They come from a bounded
-sample of labelled documents (``TRAIN_ROWS`` a class, in hash order). A
-beginning gives way to a longer pattern that has nearly all of its toxic
-documents. Without labels a short list of words (``SEEDS``) has fixed weights.
+and clean training documents, less one standard error; all that reach
+``MIN_DOCS`` and ``MIN_WEIGHT`` count. They come from a bounded sample of
+labelled documents (``TRAIN_ROWS`` a class, in hash order). A beginning gives
+way to a longer pattern that has nearly all of its toxic documents.
+
+Exceptions: a few fixed phrases, and pairs of words of the sample that hold a
+word of the lexicon, but stand in enough clean documents to be harmless
+themselves. If labels of either kind are missing there is nothing to learn: a
+short list of words (``SEEDS``) then has fixed weights.
 
 Score: the heaviest match at each word counts, unless it lies in an exception
 phrase. The sum, and the sum over the text's length, go through a logistic
@@ -24,6 +30,7 @@ text alone.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -34,7 +41,6 @@ from pyspark.sql import functions as F
 from .support import Scratch, md5_long, small_batches
 
 TRAIN_ROWS = 4000
-LEXICON, CANDIDATES = 5000, 20000
 MIN_DOCS, MIN_WEIGHT, COVERED = 4, 1.5, 0.9
 PREFIXES = range(3, 9)
 TOXIC_SCORE = 0.7
@@ -52,8 +58,9 @@ LOOKALIKES = {
 #: Signs that stand for letters inside words.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
 
-_FOREIGN = re.compile("[Ͱ-ԯＡ-ｚ]")
-_FOLD = {ord(k): v for k, v in LOOKALIKES.items()} | {0xFF41 + i: chr(97 + i) for i in range(26)}
+_FOREIGN = re.compile("[Ͱ-ԯ]")
+_ACCENT = re.compile("[\u0300-\u036f]")
+_FOLD = {ord(k): v for k, v in LOOKALIKES.items()}
 _SIGN = re.compile(r"(?<![a-z0-9@$!|])(?:[0-9@$]++[a-z]++(?:[0-9@$!|]++[a-z]++)*+|[a-z]++(?:[0-9@$!|]++[a-z]++)++)")
 _SIGNS = {ord(k): v for k, v in SUBSTITUTES.items()}
 _OTHER = re.compile(r"[\W\d_]+")
@@ -62,6 +69,8 @@ _OTHER = re.compile(r"[\W\d_]+")
 def fold(text: str) -> str:
     """Folded words, each between blanks."""
     low = text.lower()
+    if not low.isascii():
+        low = _ACCENT.sub("", unicodedata.normalize("NFKD", low).lower())
     if _FOREIGN.search(low):
         low = low.translate(_FOLD)
     low = _SIGN.sub(lambda m: m.group().translate(_SIGNS), low)
@@ -156,6 +165,19 @@ def seed_model() -> Model:
 COUNTS = {"t0": (True, False), "t1": (True, True), "c0": (False, False), "c1": (False, True)}
 
 
+def pairs(folded: str, lexicon: Lexicon) -> set[str]:
+    """Pairs of neighbouring words, " one two ", of which one is in the lexicon."""
+    words = folded.split()
+    known = {w: any(p in lexicon.weights for p in (f" {w} ", *(f" {w[:n]}" for n in PREFIXES if len(w) >= n))) for w in set(words)}
+    return {f" {a} {b} " for a, b in zip(words[:-1], words[1:], strict=True) if known[a] or known[b]}
+
+
+def harmless(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
+    """Pairs (pair, toxic documents, clean documents) that speak for no toxicity, by a standard error."""
+    odds = lambda t, c: np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)) + (1 / (t + 0.5) + 1 / (c + 0.5)) ** 0.5
+    return sorted(p for p, t, c in counts if c >= MIN_DOCS and odds(t, c) <= 0)
+
+
 def _pattern_counts(batches):
     for batch in batches:
         counts = {key: Counter() for key in COUNTS.values()}
@@ -176,8 +198,7 @@ def weighed(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[
     covered = set()
     for p, (t, _) in have.items():
         covered.update(q for q in (p[: n + 1] for n in PREFIXES if n + 1 < len(p)) if q in have and t >= COVERED * have[q][0])
-    best = sorted((p for p in have if p not in covered), key=lambda p: (-have[p][0] * have[p][1], p))[:LEXICON]
-    return {p: have[p][1] for p in best}
+    return {p: have[p][1] for p in sorted(have) if p not in covered}
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -191,16 +212,31 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sample = scratch.save(sample)
     totals = {r["_toxic"]: r["count"] for r in labels.groupBy("_toxic").count().collect()}
     halves = {(r["label"], r["half"]): r["count"] for r in sample.groupBy("label", "half").count().collect()}
-    if any(key not in halves for key in COUNTS.values()):
+    if not all(halves.get((label, False), 0) + halves.get((label, True), 0) for label in (True, False)):
         return seed_model()
     counts = sample.select("text", "label", "half").mapInArrow(_pattern_counts, "pattern string, " + ", ".join(f"{c} long" for c in COUNTS))
     counts = counts.groupBy("pattern").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    t, c = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
-    found = counts.where(t >= MIN_DOCS).orderBy(F.desc(t * F.log((t + 1) / (c + 1))), "pattern").limit(CANDIDATES).collect()
-    n = {name: halves[key] for name, key in COUNTS.items()}
+    n = {name: halves.get(key, 0) for name, key in COUNTS.items()}
+    # Patterns that reach the least weight in the sample or in a half; the sample's size bounds them.
+    reach = lambda t, c, nt, nc: (t >= MIN_DOCS) & (F.log((t + 0.5) / (nt + 1)) - F.log((c + 0.5) / (nc + 1)) - F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= MIN_WEIGHT - 1e-6)
+    whole = reach(F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), n["t0"] + n["t1"], n["c0"] + n["c1"])
+    found = counts.where(whole | reach(F.col("t0"), F.col("c0"), n["t0"], n["c0"]) | reach(F.col("t1"), F.col("c1"), n["t1"], n["c1"])).collect()
     by_half = [Lexicon(weighed([(r["pattern"], r[f"t{h}"], r[f"c{h}"]) for r in found], n[f"t{h}"], n[f"c{h}"])) for h in (0, 1)]
     lexicon = Lexicon(weighed([(r["pattern"], r["t0"] + r["t1"], r["c0"] + r["c1"]) for r in found], n["t0"] + n["t1"], n["c0"] + n["c1"]))
 
+    def pair_counts(batches):
+        for batch in batches:
+            seen = {True: Counter(), False: Counter()}
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[label].update(pairs(fold(text or ""), lexicon))
+            every = sorted(set(seen[True]) | set(seen[False]))
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *[pa.array([seen[k][p] for p in every], pa.int64()) for k in (True, False)]], ["pair", "t", "c"])
+
+    two = sample.select("text", "label").mapInArrow(pair_counts, "pair string, t long, c long").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    two = [(r["pair"], r["t"], r["c"]) for r in two.where(F.col("c") >= MIN_DOCS).collect()]
+    phrases = (*EXCEPTIONS, *harmless(two, n["t0"] + n["t1"], n["c0"] + n["c1"]))
+    lexicon, by_half = Lexicon(lexicon.weights, phrases), [Lexicon(x.weights, phrases) for x in by_half]
+
     def read(batches):
         for batch in batches:
             got = [by_half[not half].read(text or "") for text, half in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
@@ -208,7 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     seen = sample.select("text", "label", "half").mapInArrow(read, "label boolean, total double, words long").toPandas()
     y = seen["label"].to_numpy().astype(float)
-    share = np.where(y == 1, totals[True] / (n["t0"] + n["t1"]), totals[False] / (n["c0"] + n["c1"]))
+    share = np.where(y == 1, totals[True] / max(1, n["t0"] + n["t1"]), totals[False] / max(1, n["c0"] + n["c1"]))
     x = design(seen["total"].to_numpy(), seen["words"].to_numpy())
     order = np.lexsort((x[:, 2], x[:, 1], y))  # sums don't depend on the order of rows
     return Model(lexicon, np.round(fit_curve(x[order], y[order], (share / share.mean())[order]), 9))
