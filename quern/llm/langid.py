@@ -5,7 +5,9 @@ blank, cut in windows of ``WINDOW`` bytes (the last one padded). The network
 embeds bytes, convolves with filters of several widths, takes each filter's
 greatest value over the window, and goes through a rectifier and a softmax. It
 is trained in numpy on windows of a bounded sample of labelled documents: about
-``TRAIN_ROWS`` of each language, drawn by a hash. A document's probabilities
+``TRAIN_ROWS`` of each language, drawn by a hash, and of their windows an equal
+number for each language, ``TRAIN_TOTAL`` in all or ``LEAST_WINDOWS`` a language
+where that is more. Every language that a label names is learnt. A document's probabilities
 are its windows' means, weighted by their letters; every window is read.
 
 A filter's value at a place is a sum over pairs of bytes, so for inference all
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -30,9 +32,9 @@ from .support import Scratch, md5_long, small_batches
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 8, 8
-TRAIN_ROWS, LANGUAGES = 1500, 200
-#: Windows learnt from a document, spread over its whole length, and in all.
-TRAIN_WINDOWS, TRAIN_TOTAL = 3, 16000
+TRAIN_ROWS = 1500
+#: Windows learnt from a document, spread over its whole length; in all; of a language at least.
+TRAIN_WINDOWS, TRAIN_TOTAL, LEAST_WINDOWS = 3, 16000, 50
 EPOCHS, BATCH, RATE = 6, 128, 0.01
 BLOCK = 256
 
@@ -191,7 +193,7 @@ def training_windows(text: str) -> np.ndarray:
 def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network:
     """A network from the labelled rows of ``docs(doc_id, text, lang)``: about ``rows`` documents a language."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return Network([])
     spark = docs.sparkSession
@@ -211,7 +213,9 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network:
 
     scratch = Scratch(spark, "langid")
     cuts = scratch.save(sample.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(cut, "doc_id long, k int, lang string, x binary"))
-    got = cuts.orderBy(md5_long(F.col("doc_id"), F.col("k")), "x").limit(TRAIN_TOTAL).collect()
+    # Sampled rows alone: a language has 3 * TRAIN_ROWS windows or so.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(md5_long(F.col("doc_id"), F.col("k")), "x"))
+    got = cuts.withColumn("place", place).where(F.col("place") <= max(LEAST_WINDOWS, TRAIN_TOTAL // len(counts))).orderBy("place", "lang").collect()
     languages = sorted({r["lang"] for r in got})
     x = np.frombuffer(b"".join(r["x"] for r in got), np.uint8).reshape(-1, WINDOW)
     y = np.array([languages.index(r["lang"]) for r in got])
