@@ -10,8 +10,8 @@ The table has ``table_size`` rows whatever the corpus, so its broadcast is
 bounded; placing a row is one probe and no shuffle.
 
 Defined cases: a null ``doc_id`` is placed as the empty string; repeated rows
-land in the same shard; an empty table gives an empty result; input columns
-named like an output column give way to it.
+land in the same shard; an empty table gives an empty result; an input column
+named like an output column is kept under its name with ``_input`` after it.
 """
 
 from __future__ import annotations
@@ -75,5 +75,11 @@ def place(docs: DataFrame, key: str = "doc_id", shards: Sequence[str] | None = N
     """All rows of ``docs`` with columns ``slot`` and ``shard`` (index into ``shards``)."""
     owner = lookup_table(shards or shard_names(N_SHARDS), table_size)
     table = F.broadcast(table_frame(docs.sparkSession, owner))
-    rows = docs.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), table_size))
+    for name in ("slot", "shard"):
+        free = name
+        while free in docs.columns and name in docs.columns:
+            free += "_input"
+        docs = docs.withColumnRenamed(name, free)
+        key = free if key == name else key
+    rows = docs.withColumn("slot", slot_of(F.col(key), table_size))
     return rows.join(table, "slot").select(*[c for c in rows.columns if c != "slot"], "slot", "shard")

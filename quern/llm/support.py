@@ -7,6 +7,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,13 +43,31 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+@contextmanager
+def passing_scratch():
+    """Scratch folders made inside go at the end: for callers that have written their result elsewhere by then."""
+    before = len(_ROOTS)
+    try:
+        yield
+    finally:
+        for spark, root in _ROOTS[before:]:
+            Scratch.delete(spark, root)
+        del _ROOTS[before:]
+
+
 class Scratch:
     """Written tables that cut lineage: a lost executor costs a read, not a recomputation."""
 
     def __init__(self, spark: SparkSession, name: str, root: str | None = None):
         small_batches(spark)
         self.spark = spark
-        self.root = root or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = root
+        if not root:
+            self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+            _ROOTS.append((spark, self.root))
 
     def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
         """Write ``df`` as Parquet and return the table read back."""
@@ -75,9 +94,12 @@ class Scratch:
             self.drop_path(path)
 
     def drop_path(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.delete(self.spark, path)
+
+    @staticmethod
+    def delete(spark: SparkSession, path: str) -> None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def md5_long(*cols: Column) -> Column:
