@@ -6,7 +6,7 @@
    times idf; idf comes from the documents of the whole corpus that hold a word
    of the templates, the templates counting as documents too.
 2. Candidates. A unit at a cosine of c to a template shares words with it whose
-   weights have c squared of its squared length. The heaviest (rarest) words of
+   weights have c squared of its squared length. The rarest words of
    a template that leave less than that are its keys: a unit without any key of
    any template can't reach the threshold, and is not compared. The whole text
    is compared if it holds a key of a template of several sentences.
@@ -204,12 +204,12 @@ def vectors(idf: dict[str, float]) -> list[dict[str, float]]:
     return out
 
 
-def keys(vecs: list[dict[str, float]], least: int = 0) -> list[str]:
+def keys(vecs: list[dict[str, float]], idf: dict[str, float], least: int = 0) -> list[str]:
     """Words of which a unit must hold one to reach ``MIN_COSINE`` with any template of ``least`` words or more."""
     out = set()
     for vec, (_, text) in zip(vecs, TEMPLATES, strict=True):
         left = 1.0
-        for w, x in sorted(vec.items(), key=lambda p: (-p[1], p[0])) if len(words_of(text)) >= least else ():
+        for w, x in sorted(vec.items(), key=lambda p: (-idf[p[0]], p[0])) if len(words_of(text)) >= least else ():
             # A slack keeps rounding on the safe side.
             if left < MIN_COSINE**2 - 1e-6:
                 break
@@ -241,7 +241,7 @@ def matches(scratch: Scratch, texts: DataFrame) -> DataFrame:
     spark = scratch.spark
     idf, other = inverse_frequencies(texts)
     vecs = vectors(idf)
-    short, long = keys(vecs), keys(vecs, LONG)
+    short, long = keys(vecs, idf), keys(vecs, idf, LONG)
     holds = F.arrays_overlap(split_words(F.col("text")), F.array(*map(F.lit, short)))
     some = scratch.save(texts.where(holds).dropDuplicates(["rid"]))
     found = units(some, short, long)
