@@ -32,18 +32,27 @@ hon'ble honble hon ble ld sd learned said versus vs
 )
 MIN_LENGTH, MAX_LENGTH = 2, 40
 
-#: What is a placeholder, a numbered reference, a word.
+#: What is a placeholder, a word, the number of a provision, and the words that mark one.
 PLACEHOLDER = r"\[[A-Z][A-Z_ ]{2,20}\]"
-REF_NUMBER = r"\d+[a-z]{0,2}(?:\(\w{1,3}\))*"
-REFERENCE = rf"(?:\b(?:sections?|secs?|u/ss?|articles?|arts?)\b\s*\.?\s*|(?<![\w'])s\.\s*){REF_NUMBER}"
 WORD = r"[a-z0-9]+(?:['’][a-z]+)?"
-TOKEN = rf"(?U){REFERENCE}|{WORD}"
+NUMBER = r"\d+[a-z]{0,2}(?:\(\w{1,3}\))*"
+MARKS = {"s": ("section", "sections", "sec", "secs", "u/s", "u/ss"), "art": ("article", "articles", "art", "arts")}
+#: Stands between the code and the number of a reference while a text is cut in words.
+HINGE = "\x01"
 
 
 def strip_placeholders(text: Column) -> Column:
     return F.regexp_replace(text, PLACEHOLDER, " ")
 
 
+def with_references(low: Column) -> Column:
+    """References to sections and articles of a lower-cased text as one word each: code, hinge, number."""
+    for code, names in MARKS.items():
+        low = F.regexp_replace(low, rf"(?U)\b(?:{'|'.join(names)})\b\s*\.?\s*({NUMBER})", f" {code}{HINGE}$1 ")
+    # A bare "s" needs its dot, and isn't the end of a possessive.
+    return F.regexp_replace(low, rf"(?U)(?<![\w'’])s\.\s*({NUMBER})", f" s{HINGE}$1 ")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case tokens; references to sections and articles come as ``s.<number>`` and ``art.<number>``.
 
@@ -54,15 +63,10 @@ def tokens(text: Column) -> Column:
     def bare(t: Column) -> Column:
         return F.regexp_replace(t, "['’]s$", "")
 
-    def named(t: Column) -> Column:
-        # Only references hold anything but letters, digits and apostrophes.
-        number = F.regexp_extract(t, rf"(?U){REF_NUMBER}$", 0)
-        reference = F.concat(F.when(t.startswith("art"), F.lit("art.")).otherwise(F.lit("s.")), number)
-        return F.when(t.rlike("[^a-z0-9'’]"), reference).otherwise(bare(t))
-
     words = F.regexp_extract_all(low, F.lit(WORD), 0)
     apostrophe = F.contains(low, F.lit("'")) | F.contains(low, F.lit("’"))
-    full = F.transform(F.regexp_extract_all(low, F.lit(TOKEN), 0), named)
+    full = F.regexp_extract_all(with_references(low), F.lit(rf"(?U)[a-z]+{HINGE}{NUMBER}|{WORD}"), 0)
+    full = F.transform(full, lambda t: F.when(F.contains(t, F.lit(HINGE)), F.replace(t, F.lit(HINGE), F.lit("."))).otherwise(bare(t)))
     return F.when(low.rlike(r"(?U)\d"), full).when(apostrophe, F.transform(words, bare)).otherwise(words)
 
 

@@ -56,6 +56,17 @@ def vbyte(lists: pd.Series) -> pd.Series:
     return lists.map(encode)
 
 
+@F.pandas_udf(T.BinaryType())
+def pack(positions: pd.Series) -> pd.Series:
+    """Sorted positions as gaps in variable bytes."""
+    return positions.map(lambda p: encode(gaps(p)))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def unpack(blobs: pd.Series) -> pd.Series:
+    return blobs.map(lambda b: ungap(decode(b)))
+
+
 def skip_cost(a: list[int], b: list[int], skips: bool) -> tuple[int, int]:
     """(common documents, comparisons) of merging two sorted lists, with or without skips of the square root of their lengths."""
     i = j = common = steps = 0
