@@ -12,6 +12,8 @@ COURT_PRIOR = {"SC": 1.0, "HC": 0.6}
 OTHER_COURT = 0.3
 WEIGHTS = {"text": 0.35444, "neighbour": 0.48788, "authority": 0.15768}
 NEIGHBOURS, POWER = 20, 4
+#: Documents of the best text scores that are ranked by the net score.
+FIRST_STAGE = 1000
 
 
 def court_prior(court: Column) -> Column:
@@ -48,19 +50,22 @@ def authority_of(pairs: DataFrame, edges: DataFrame, queries: DataFrame, splits:
     return out.withColumn("authority", F.log1p(n)).drop("n", "own")
 
 
-def neighbours(terms: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """(qid, neighbour, sim, rank): the most similar training queries, a query itself left out; similarities are not negative."""
+def neighbours(terms: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, asked: DataFrame | None = None) -> DataFrame:
+    """(qid, neighbour, sim, rank): the most similar training queries, a query itself left out; similarities are positive.
+
+    ``asked(qid, term, qtf)`` are the queries that neighbours are sought for, by default all of ``terms``.
+    Terms that all training queries hold weigh nothing and are not joined.
+    """
     train = queries.where("split = 'train'").select("qid")
     t = terms.join(train, "qid", "left_semi")
     n = train.agg(F.count("*").alias("n"))
     df = t.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", F.log10(F.col("n") / F.col("df")).alias("idf"))
-    asked = terms.join(idf, "term").withColumn("w", (1 + F.log10("qtf")) * F.col("idf"))
+    idf = df.crossJoin(F.broadcast(n)).select("term", F.log10(F.col("n") / F.col("df")).alias("idf")).where("idf > 0")
+    asked = (terms if asked is None else asked).join(idf, "term").withColumn("w", (1 + F.log10("qtf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("qid")))
     asked = asked.select("qid", "term", F.when(norm > 0, F.col("w") / norm).otherwise(0.0).alias("w"))
     index = scoring.document_weights(t.select("term", F.col("qid").alias("doc_id"), F.col("qtf").alias("tf")))
-    sims = scoring.dot(asked, index).where("qid <> doc_id").select("qid", F.col("doc_id").alias("neighbour"), F.greatest("score", F.lit(0.0)).alias("sim"))
-    sims = sims.withColumn("sim", F.round("sim", 9))
+    sims = scoring.dot(asked, index).where("qid <> doc_id").select("qid", F.col("doc_id").alias("neighbour"), F.round("score", 9).alias("sim")).where("sim > 0")
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "neighbour")
     return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -130,8 +135,22 @@ def explained(weights: dict[str, float]) -> Column:
     return F.transform(F.array_sort(parts), lambda p: F.struct(p["name"].alias("name"), (-p["c"]).alias("contribution")))
 
 
-def assembled(cand: DataFrame, text: DataFrame, vote: DataFrame, edges: DataFrame, queries: DataFrame, splits=("train",), leave_one_out: bool = True) -> DataFrame:
-    """Candidates with text, neighbour and authority features, 0 where they have none."""
-    rows = cand.join(text.select("qid", "doc_id", F.col("score").alias("text")), ["qid", "doc_id"], "left").join(vote, ["qid", "doc_id"], "left")
-    rows = rows.select("qid", "doc_id", F.coalesce("text", F.lit(0.0)).alias("text"), F.coalesce("neighbour", F.lit(0.0)).alias("neighbour"))
+def assembled(text: DataFrame, vote: DataFrame, edges: DataFrame, queries: DataFrame, splits=("train",), leave_one_out: bool = True) -> DataFrame:
+    """The first stage ``text(qid, doc_id, score)`` with text, neighbour and authority features, 0 where they have none."""
+    rows = text.select("qid", "doc_id", F.col("score").alias("text")).join(vote, ["qid", "doc_id"], "left")
+    rows = rows.withColumn("neighbour", F.coalesce("neighbour", F.lit(0.0)))
     return authority_of(rows, edges, queries, splits, leave_one_out)
+
+
+def union_recall(sources: list[tuple[DataFrame, str]], qrels: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """(size, recall, mean_size): share of relevant documents in the union of the best ``size`` of every (frame, score), and its mean size, over queries with any."""
+    n = qrels.groupBy("qid").agg(F.count("*").alias("n_rel"))
+    out = None
+    for size in sizes:
+        cand = candidates([(frame, score, size) for frame, score in sources]).join(n.select("qid"), "qid", "left_semi")
+        hits = cand.join(qrels, ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.count("*").alias("hits"))
+        per = n.join(cand.groupBy("qid").agg(F.count("*").alias("size")), "qid", "left").join(hits, "qid", "left")
+        zero = F.lit(0)
+        one = per.agg(F.avg(F.coalesce("hits", zero) / F.col("n_rel")).alias("recall"), F.avg(F.coalesce("size", zero)).alias("mean_size")).select(F.lit(size).alias("size"), "recall", "mean_size")
+        out = one if out is None else out.unionByName(one)
+    return out

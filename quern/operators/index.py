@@ -106,3 +106,11 @@ def intersection_costs(pairs: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["common", "plain", "skip"])
 
     return pairs.withColumn("c", cost("a", "b")).select(*[c for c in pairs.columns if c not in ("a", "b")], "c.common", "c.plain", "c.skip")
+
+
+def position_sizes(toks: DataFrame) -> DataFrame:
+    """(zone, lists, positions, bytes, checksum): position lists as gaps in variable bytes, and the sum of (position + 1) after decoding them."""
+    packed = positions(toks).select("zone", codec.pack("positions").alias("blob"), F.size("positions").alias("n"))
+    rows = packed.select("zone", "n", F.octet_length("blob").alias("bytes"), codec.unpack("blob").alias("positions"))
+    rows = rows.withColumn("sum", F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p + 1))
+    return rows.groupBy("zone").agg(F.count("*").alias("lists"), F.sum("n").cast("long").alias("positions"), F.sum("bytes").cast("long").alias("bytes"), F.sum("sum").alias("checksum"))

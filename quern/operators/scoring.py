@@ -1,19 +1,57 @@
 """Text scores of all queries at once: joins on terms, sums by (query, document).
 
-Inputs: postings(term, doc_id, tf) of one zone, query terms (qid, term, qtf).
-The query side is small and is joined first; how is left to the optimizer.
+Inputs: postings(term, doc_id, tf) of one zone, or a :class:`TextIndex` of them;
+query terms (qid, term, qtf). A query side of ``FEW_ROWS`` at most is broadcast,
+so that postings don't shuffle; a greater one is joined by shuffles.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+FEW_ROWS = 200_000
+
 
 def frequencies(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def few(rows: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """``rows`` marked for broadcast if a count says that there are ``most`` at most."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+class TextIndex:
+    """Postings of one zone with what scores need of them: document frequencies, weights and lengths.
+
+    ``keep`` is applied to each table when it is first asked for; an index that
+    serves many queries passes one that persists.
+    """
+
+    def __init__(self, post: DataFrame, keep=lambda table: table):
+        self.post, self._keep = post, keep
+
+    @classmethod
+    def of(cls, post: DataFrame | TextIndex) -> TextIndex:
+        return post if isinstance(post, cls) else cls(post)
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self._keep(frequencies(self.post))
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return self._keep(document_weights(self.post))
+
+    @cached_property
+    def sized(self) -> DataFrame:
+        """(term, doc_id, tf, len)."""
+        return self._keep(self.post.join(self.post.groupBy("doc_id").agg(F.sum("tf").alias("len")), "doc_id").select("term", "doc_id", "tf", "len"))
+
+
 def document_weights(post: DataFrame) -> DataFrame:
     """(term, doc_id, w): 1 + log tf over the document's norm."""
     w = post.withColumn("w", 1 + F.log10("tf"))
@@ -31,25 +69,25 @@ def query_weights(terms: DataFrame, df: DataFrame, n_docs: Column | int) -> Data
 
 def dot(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(qid, doc_id, score): sums of products over shared terms."""
-    both = queries.select("qid", "term", F.col("w").alias("wq")).join(docs.select("term", "doc_id", F.col("w").alias("wd")), "term")
+    both = few(queries.select("qid", "term", F.col("w").alias("wq"))).join(docs.select("term", "doc_id", F.col("w").alias("wd")), "term")
     return both.groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
 
 
-def tfidf(post: DataFrame, terms: DataFrame, n_docs: int, among: DataFrame | None = None) -> DataFrame:
+def tfidf(post: DataFrame | TextIndex, terms: DataFrame, n_docs: int, among: DataFrame | None = None) -> DataFrame:
     """Cosine of log-weighted documents and idf-weighted queries; ``among(qid, doc_id)`` restricts the candidates."""
-    out = dot(query_weights(terms, frequencies(post), n_docs), document_weights(post))
+    index = TextIndex.of(post)
+    out = dot(query_weights(terms, index.df, n_docs), index.weights)
     return out if among is None else out.join(among, ["qid", "doc_id"], "left_semi")
 
 
-def bm25(post: DataFrame, terms: DataFrame, n_docs: int, k1: float = 1.2, b: float = 0.75, query_tf: str = "raw", k3: float = 1.2) -> DataFrame:
+def bm25(post: DataFrame | TextIndex, terms: DataFrame, n_docs: int, k1: float = 1.2, b: float = 0.75, query_tf: str = "raw", k3: float = 1.2) -> DataFrame:
     """Okapi scores; the query's frequency counts raw, binary or saturated. Mean length is over all documents, empty ones too."""
     factor = {"raw": F.col("qtf").cast("double"), "binary": F.lit(1.0), "saturated": F.col("qtf") * (k3 + 1) / (F.col("qtf") + k3)}[query_tf]
-    q = terms.join(frequencies(post), "term").select("qid", "term", (F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)) * factor).alias("w"))
-    size = post.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    mean = post.agg((F.sum("tf") / n_docs).alias("mean"))
-    long = size.crossJoin(F.broadcast(mean)).select("doc_id", (1 - b + b * F.col("len") / F.col("mean")).alias("long"))
-    d = post.join(q.select("term").distinct(), "term", "left_semi").join(long, "doc_id")
-    d = d.select("term", "doc_id", (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * F.col("long"))).alias("w"))
+    index = TextIndex.of(post)
+    q = terms.join(index.df, "term").select("qid", "term", (F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)) * factor).alias("w"))
+    mean = index.post.agg((F.sum("tf") / n_docs).alias("mean"))  # one row
+    long = 1 - b + b * F.col("len") / F.col("mean")
+    d = index.sized.crossJoin(F.broadcast(mean)).select("term", "doc_id", (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * long)).alias("w"))
     return dot(q, d)
 
 
@@ -60,32 +98,34 @@ def ranked(scores: DataFrame, k: int | None = None, digits: int = 6, score: str
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def zone_pairs(post: DataFrame, views: DataFrame, n_docs: int) -> DataFrame:
-    """(qid, view, zone, doc_id, score): cosines of every query view (qid, view, term, qtf) with every zone of postings(zone, term, doc_id, tf)."""
+def zone_pairs(post: DataFrame, views: DataFrame, n_docs: int, view_names: tuple[str, ...], zone_names: tuple[str, ...], among: DataFrame | None = None) -> DataFrame:
+    """(qid, doc_id, one column a view and zone): cosines of every query view (qid, view, term, qtf) with
+    every zone of postings(zone, term, doc_id, tf), 0 where they share nothing.
+
+    Weights of all views stand in one row a query and term, those of all zones in one row a document and
+    term: the postings are joined once, and one sum gives all pairs.
+    """
     df = post.groupBy("zone", "term").agg(F.count("*").alias("df"))
-    d = post.withColumn("w", 1 + F.log10("tf"))
-    d = d.join(d.groupBy("zone", "doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), ["zone", "doc_id"])
-    d = d.select("zone", "term", "doc_id", (F.col("w") / F.col("norm")).alias("wd"))
+    w = 1 + F.log10("tf")
+    size = lambda z: F.sqrt(F.sum(F.when(F.col("zone") == z, w * w)))
+    norms = post.groupBy("doc_id").agg(*[size(z).alias(f"n_{z}") for z in zone_names])
+    wide = post.groupBy("term", "doc_id").agg(*[F.sum(F.when(F.col("zone") == z, w)).alias(f"d_{z}") for z in zone_names])
+    wide = wide.join(norms, "doc_id").select("term", "doc_id", *[F.coalesce(F.col(f"d_{z}") / F.col(f"n_{z}"), F.lit(0.0)).alias(f"d_{z}") for z in zone_names])
     q = views.join(df, "term").withColumn("w", (1 + F.log10("qtf")) * F.log10(n_docs / F.col("df")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("qid", "view", "zone")))
-    q = q.select("qid", "view", "zone", "term", F.when(norm > 0, F.col("w") / norm).otherwise(0.0).alias("wq"))
-    return q.join(d, ["zone", "term"]).groupBy("qid", "view", "zone", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
+    q = q.withColumn("w", F.when(norm > 0, F.col("w") / norm).otherwise(0.0))
+    pairs = [(v, z) for v in view_names for z in zone_names]
+    one = [F.coalesce(F.sum(F.when((F.col("view") == v) & (F.col("zone") == z), F.col("w"))), F.lit(0.0)).alias(f"q_{v}_{z}") for v, z in pairs]
+    rows = few(q.groupBy("qid", "term").agg(*one)).join(wide, "term")
+    rows = rows if among is None else rows.join(among, ["qid", "doc_id"], "left_semi")
+    return rows.groupBy("qid", "doc_id").agg(*[F.sum(F.col(f"q_{v}_{z}") * F.col(f"d_{z}")).alias(f"{v}_{z}") for v, z in pairs])
 
 
 def zone_pair_score(pairs: DataFrame, weights: dict[tuple[str, str], float]) -> DataFrame:
     """Weighted sums of zone-pair cosines; weights are not negative and sum to 1."""
     if any(w < 0 for w in weights.values()) or abs(sum(weights.values()) - 1) > 1e-9:
         raise ValueError("weights must not be negative and must sum to 1")
-    w = F.lit(0.0)
-    for (view, zone), x in weights.items():
-        w = F.when((F.col("view") == view) & (F.col("zone") == zone), x).otherwise(w)
-    return pairs.groupBy("qid", "doc_id").agg(F.sum(F.col("score") * w).alias("score"))
-
-
-def pivoted(pairs: DataFrame, views: list[str], zones: list[str]) -> DataFrame:
-    """One column a (view, zone), 0 where they share nothing."""
-    cells = [F.sum(F.when((F.col("view") == v) & (F.col("zone") == z), F.col("score")).otherwise(0.0)).alias(f"{v}_{z}") for v in views for z in zones]
-    return pairs.groupBy("qid", "doc_id").agg(*cells)
+    return pairs.select("qid", "doc_id", sum((F.col(f"{v}_{z}") * w for (v, z), w in weights.items()), F.lit(0.0)).alias("score"))
 
 
 def popularity(edges: DataFrame) -> DataFrame:
@@ -93,9 +133,15 @@ def popularity(edges: DataFrame) -> DataFrame:
     return edges.distinct().groupBy(F.col("dst").alias("doc_id")).agg(F.count("*").alias("n"))
 
 
+def draw(*keys: Column) -> Column:
+    """A number in [0, 1) from the MD5 of the keys: the same wherever it is computed."""
+    text = F.concat_ws("/", *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
 def random_scores(pairs: DataFrame, seed: int = 13) -> DataFrame:
     """A hash of (seed, query, document) as a score in [0, 1)."""
-    return pairs.withColumn("score", F.pmod(F.xxhash64(F.lit(seed), "qid", "doc_id"), F.lit(1 << 52)) / float(1 << 52))
+    return pairs.withColumn("score", draw(F.lit(seed), F.col("qid"), F.col("doc_id")))
 
 
 def term_overlap(post: DataFrame, terms: DataFrame, statutes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:

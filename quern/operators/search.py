@@ -12,14 +12,15 @@ from quern.sources.corpus import Corpus
 
 from . import evaluation, features, pruning, scoring
 
+REQUEST = -1
 RANKERS = {"tfidf": scoring.tfidf, "bm25": scoring.bm25}
 
 
 def request_terms(c: Corpus, text: str, scrub: bool = False) -> DataFrame:
-    """(qid, term, qtf) of a pasted text, as query 0."""
+    """(qid, term, qtf) of a pasted text, as query ``REQUEST``, which no document is."""
     given = F.lit(text)
     given = citations.scrub(given)["text"] if scrub else given
-    return c.spark.range(1).select(F.explode(analysis.terms(given)).alias("term")).groupBy(F.lit(0).cast("long").alias("qid"), "term").agg(F.count("*").alias("qtf"))
+    return c.spark.range(1).select(F.explode(analysis.terms(given)).alias("term")).groupBy(F.lit(REQUEST).cast("long").alias("qid"), "term").agg(F.count("*").alias("qtf"))
 
 
 def candidates(c: Corpus, terms: DataFrame, how: str | None, k: int) -> DataFrame | None:
@@ -44,13 +45,14 @@ def search(
     c: Corpus, text: str, ranker: str = "ours", prune: str | None = None, courts: list[str] | None = None, years: tuple[int, int] | None = None,
     before: datetime.date | None = None, weights: dict[str, float] | None = None, scrub: bool = False, k: int = 10, first_stage: int = 1000,
 ) -> DataFrame:
-    """(rank, doc_id, score, parts, court, date): the k best documents for a text.
+    """(rank, doc_id, score, parts, reasons, court, date): the k best documents for a text.
 
-    Documents of unknown year pass the year filter, and of unknown date the date
-    filter. "ours" adds the authority of the first stage's documents to the text score.
+    Documents of unknown year pass the year filter, and of unknown date the date filter. "ours" is the net
+    score of text, votes of the training queries nearest to the text, and authority; its rows name the
+    neighbours that cite a document (``reasons``).
     """
-    terms = request_terms(c, text, scrub)
-    scores = RANKERS["tfidf" if ranker == "ours" else ranker](c.whole, terms, c.n_docs)
+    terms = request_terms(c, text, scrub).persist()
+    scores = RANKERS["tfidf" if ranker == "ours" else ranker](c.text_index, terms, c.n_docs)
     cand = candidates(c, terms, prune, k)
     if cand is not None:
         scores = scores.join(cand, ["qid", "doc_id"], "left_semi")
@@ -63,14 +65,18 @@ def search(
         allowed = allowed.where(features.precedes(F.col("date"), F.lit(before)))
     top = scoring.ranked(scores.join(allowed, "doc_id"), first_stage)
     if ranker == "ours":
-        pop = scoring.popularity(c.edges).withColumn("authority", F.log1p("n"))
-        rows = top.join(pop, "doc_id", "left").select("qid", "doc_id", F.col("score").alias("text"), F.coalesce("authority", F.lit(0.0)).alias("authority"), "court", "date")
-        w = weights or {n: features.WEIGHTS[n] for n in ("text", "authority")}
-        rows = features.scaled(rows, ["text", "authority"]).withColumn("net", features.reweighted(w))
-        out = features.ordered(rows).withColumn("parts", features.explained(w)).withColumn("score", F.round("net", 6))
+        near = features.neighbours(c.doc_query_terms(), c.doc_queries, asked=terms)
+        cited = c.edges.where("src % 5 = 0")
+        rows = features.assembled(top, features.votes(near, cited), c.edges, c.doc_queries)
+        names = list(features.WEIGHTS)
+        w = weights or features.WEIGHTS
+        rows = features.scaled(rows, names).withColumn("net", features.reweighted(w))
+        out = features.ordered(rows).where(F.col("rank") <= k).withColumn("parts", features.explained(w)).withColumn("score", F.round("net", 6))
+        out = out.join(features.vote_reasons(near, cited), ["qid", "doc_id"], "left").join(allowed, "doc_id")
     else:
         out = top.withColumn("parts", F.array(F.struct(F.lit("text").alias("name"), F.round("score", 5).alias("contribution"))))
-    return out.where(F.col("rank") <= k).select("rank", "doc_id", "score", "parts", "court", "date").orderBy("rank")
+        out = out.withColumn("reasons", F.lit(None).cast("array<struct<neighbour:bigint,sim:double>>"))
+    return out.where(F.col("rank") <= k).select("rank", "doc_id", "score", "parts", "reasons", "court", "date").orderBy("rank")
 
 
 def overlay(result: DataFrame, relevant: DataFrame) -> DataFrame:

@@ -12,18 +12,20 @@ from . import evaluation, features, scoring
 
 def folds(queries: DataFrame, n: int = 5) -> DataFrame:
     """(qid, fold) by a stable hash."""
-    return queries.select("qid", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int").alias("fold"))
+    return queries.select("qid", F.floor(scoring.draw(F.lit("fold"), F.col("qid")) * n).cast("int").alias("fold"))
 
 
-def bm25_grid(post: DataFrame, terms: DataFrame, n_docs: int, k1s, bs) -> DataFrame:
-    """(k1, b, qid, doc_id, score) for every pair of parameters, in one pass over the postings."""
-    grid = terms.sparkSession.createDataFrame([(float(k), float(b)) for k in k1s for b in bs], "k1 double, b double")
-    q = terms.join(scoring.frequencies(post), "term").select("qid", "term", (F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qtf")).alias("wq"))
-    size = post.groupBy("doc_id").agg(F.sum("tf").alias("len")).crossJoin(F.broadcast(post.agg((F.sum("tf") / n_docs).alias("mean"))))
-    d = post.join(q.select("term").distinct(), "term", "left_semi").join(size, "doc_id")
-    rows = q.join(d, "term").crossJoin(F.broadcast(grid))
-    part = F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("len") / F.col("mean")))
-    return rows.groupBy("k1", "b", "qid", "doc_id").agg(F.sum(F.col("wq") * part).alias("score"))
+def bm25_grid(post: DataFrame | scoring.TextIndex, terms: DataFrame, n_docs: int, k1s, bs) -> DataFrame:
+    """(k1, b, qid, doc_id, score) for every pair of parameters: one pass over the postings with a sum for each."""
+    index = scoring.TextIndex.of(post)
+    grid = [(float(k), float(b)) for k in k1s for b in bs]
+    q = terms.join(index.df, "term").select("qid", "term", (F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qtf")).alias("wq"))
+    mean = index.post.agg((F.sum("tf") / n_docs).alias("mean"))  # one row
+    rows = scoring.few(q).join(index.sized.crossJoin(F.broadcast(mean)), "term")
+    part = lambda k, b: F.col("wq") * F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("len") / F.col("mean")))
+    sums = rows.groupBy("qid", "doc_id").agg(*[F.sum(part(k, b)).alias(f"s{i}") for i, (k, b) in enumerate(grid)])
+    every = F.array(*[F.struct(F.lit(k).alias("k1"), F.lit(b).alias("b"), F.col(f"s{i}").alias("score")) for i, (k, b) in enumerate(grid)])
+    return sums.select("qid", "doc_id", F.explode(every).alias("x")).select("x.k1", "x.b", "qid", "doc_id", "x.score")
 
 
 def mean_ap(scores: DataFrame, qrels: DataFrame, by: list[str]) -> DataFrame:
@@ -106,3 +108,52 @@ def ablation(rows: DataFrame, qrels: DataFrame, subsets: dict[str, dict[str, flo
         got = evaluation.averages(evaluation.measures(ranked, qrels)).withColumn("system", F.lit(name))
         out = got if out is None else out.unionByName(got)
     return out
+
+
+def frozen(results: DataFrame, trials: list[dict[str, float]]) -> dict:
+    """The trial of the best mean over all folds, with its weights, fold scores and the nested score: what a release fixes."""
+    rows = results.collect()  # one row a trial and fold
+    total = {}
+    for r in rows:
+        s, n = total.get(r["trial"], (0.0, 0))
+        total[r["trial"]] = (s + r["map"] * r["n"], n + r["n"])
+    best = min(total, key=lambda t: (-round(total[t][0] / total[t][1], 9), t))
+    held = nested(results).join(results.select("fold", "trial", "n"), ["fold", "trial"]).collect()
+    return {
+        "weights": {k: round(v, 5) for k, v in trials[best].items()}, "map": round(total[best][0] / total[best][1], 5),
+        "fold_map": [round(r["map"], 5) for r in sorted(rows, key=lambda r: r["fold"]) if r["trial"] == best],
+        "nested_map": round(sum(r["map"] * r["n"] for r in held) / sum(r["n"] for r in held), 5),
+    }
+
+
+def regularised(rows: DataFrame, qrels: DataFrame, fixed: str, names: list[str], by_fold: DataFrame, grid=(0.0, 0.05, 0.1, 0.2, 0.4, 0.8), sweeps: int = 5) -> tuple[dict[str, float], int]:
+    """Weights that are added to ``fixed`` at weight 1, by coordinate ascent that stops after the number of sweeps that is best on held-out folds."""
+
+    def path(of: DataFrame) -> list[dict[str, float]]:
+        have = [dict.fromkeys(names, 0.0)]
+        for _ in range(sweeps):
+            now = dict(have[-1])
+            for name in names:
+                tried = [now] + [{**now, name: g} for g in grid if g != now[name]]
+                top = search(rows, of, [{fixed: 1.0, **t} for t in tried], of.select("qid").distinct().withColumn("fold", F.lit(0)))
+                now = tried[top.orderBy(F.desc(F.round("map", 6)), "trial").first()["trial"]]
+            have.append(now)
+            if now == have[-2]:
+                break
+        return have + [have[-1]] * (sweeps + 1 - len(have))
+
+    rows = rows.select("qid", "doc_id", fixed, *names).persist()
+    try:
+        total = [0.0] * (sweeps + 1)
+        for fold in [r["fold"] for r in by_fold.select("fold").distinct().orderBy("fold").collect()]:
+            inside = by_fold.where(F.col("fold") == fold)
+            outside = qrels.join(inside, "qid", "left_anti")
+            held = qrels.join(inside, "qid", "left_semi")
+            steps = path(outside)
+            got = search(rows, held, [{fixed: 1.0, **t} for t in steps], inside).collect()
+            for r in got:
+                total[r["trial"]] += r["map"]
+        best = max(range(sweeps + 1), key=lambda i: (round(total[i], 9), -i))
+        return {fixed: 1.0, **path(qrels)[best]}, best
+    finally:
+        rows.unpersist()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quern.functions.analysis import ENGLISH_STOP, LEGAL_STOP
-from quern.queries import MISSPELT
+from quern.queries import LADDER, MISSPELT, NAMES, TRIALS
 from quern.sources.corpus import ZONES
 
 _Q = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
@@ -47,7 +47,7 @@ bm25 AS (SELECT qid, doc_id, round(sum(idf * qtf * tf * 2.2 / (tf + 1.2 * (0.25
 bm25_r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm25),
 edges AS (
   SELECT DISTINCT l_orderkey % n AS src, l_partkey % n AS dst FROM lineitem, nd
-  WHERE l_linenumber = 1 AND l_orderkey % n <> l_partkey % n AND (l_partkey % n) % 5 <> 0),
+  WHERE l_orderkey % n <> l_partkey % n AND (l_partkey % n) % 5 <> 0),
 pop AS (SELECT dst AS doc_id, count(*) AS n FROM edges GROUP BY dst),
 dq AS (
   SELECT doc_id AS qid, CASE (doc_id // 5) % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split, date FROM docs WHERE doc_id % 5 = 0),
@@ -65,26 +65,27 @@ pqn AS (SELECT qid, sqrt(sum(w * w)) AS norm FROM pq0 GROUP BY qid),
 ptext AS (
   SELECT qid, doc_id, round(sum(CASE WHEN pqn.norm > 0 THEN pq0.w / pqn.norm ELSE 0 END * (1 + log10(tf)) / pnorm.norm), 6) AS text
   FROM pq0 JOIN pqn USING (qid) JOIN pp USING (term) JOIN pnorm USING (doc_id) GROUP BY qid, doc_id),
-ptop AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY text DESC, doc_id) AS r FROM ptext QUALIFY r <= 20),
+ptop AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY text DESC, doc_id) AS r FROM ptext QUALIFY r <= 1000),
 tt AS (SELECT * FROM dqt WHERE qid IN (SELECT qid FROM dq WHERE split = 'train')),
 nt AS (SELECT count(*) AS n FROM dq WHERE split = 'train'),
 tdf AS (SELECT term, count(*) AS df FROM tt GROUP BY term),
 tnorm AS (SELECT qid, sqrt(sum((1 + log10(qtf)) ** 2)) AS norm FROM tt GROUP BY qid),
-nq0 AS (SELECT qid, term, (1 + log10(qtf)) * log10(n / df) AS w FROM dqt JOIN tdf USING (term), nt),
+nq0 AS (SELECT qid, term, (1 + log10(qtf)) * log10(n / df) AS w FROM dqt JOIN tdf USING (term), nt WHERE df < n),
 nqn AS (SELECT qid, sqrt(sum(w * w)) AS norm FROM nq0 GROUP BY qid),
 sims AS (
-  SELECT a.qid, t.qid AS neighbour, round(greatest(sum(CASE WHEN nqn.norm > 0 THEN a.w / nqn.norm ELSE 0 END * (1 + log10(t.qtf)) / tnorm.norm), 0), 9) AS sim
-  FROM nq0 a JOIN nqn ON nqn.qid = a.qid JOIN tt t ON t.term = a.term AND t.qid <> a.qid JOIN tnorm ON tnorm.qid = t.qid GROUP BY ALL),
+  SELECT * FROM (SELECT a.qid, t.qid AS neighbour, round(sum(a.w / nqn.norm * (1 + log10(t.qtf)) / tnorm.norm), 9) AS sim
+    FROM nq0 a JOIN nqn ON nqn.qid = a.qid JOIN tt t ON t.term = a.term AND t.qid <> a.qid JOIN tnorm ON tnorm.qid = t.qid GROUP BY ALL) WHERE sim > 0),
 near AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, neighbour) AS INTEGER) AS rank FROM sims),
-vote AS (SELECT n.qid, e.dst AS doc_id, sum(n.sim ** 2) AS neighbour FROM near n JOIN edges e ON e.src = n.neighbour WHERE n.rank <= 5 GROUP BY ALL),
-vtop AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(neighbour, 6) DESC, doc_id) AS r FROM vote WHERE qid <> doc_id QUALIFY r <= 5),
-cand AS (SELECT qid, doc_id FROM ptop WHERE qid <> doc_id UNION SELECT qid, doc_id FROM vtop),
+vote AS (SELECT n.qid, e.dst AS doc_id, sum(n.sim ** 4) AS neighbour FROM near n JOIN edges e ON e.src = n.neighbour WHERE n.rank <= 20 GROUP BY ALL),
+vtop AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(neighbour, 6) DESC, doc_id) AS r FROM vote WHERE qid <> doc_id),
+cand AS (SELECT qid, doc_id FROM ptop WHERE qid <> doc_id AND r <= 20 UNION SELECT qid, doc_id FROM vtop WHERE r <= 5),
+erel AS (SELECT src AS qid, count(*) AS n_rel FROM edges WHERE src % 5 = 0 GROUP BY src),
 src AS (SELECT e.* FROM edges e LEFT JOIN dq ON dq.qid = e.src WHERE dq.split IS NULL OR dq.split = 'train'),
 base AS (SELECT dst AS doc_id, count(*) AS n FROM src GROUP BY dst),
 feat AS (
-  SELECT c.qid, c.doc_id, coalesce(p.text, 0) AS text, coalesce(v.neighbour, 0) AS neighbour,
+  SELECT c.qid, c.doc_id, c.text, coalesce(v.neighbour, 0) AS neighbour,
     ln(1 + coalesce(b.n, 0) - CASE WHEN s.src IS NULL THEN 0 ELSE 1 END) AS authority
-  FROM cand c LEFT JOIN ptop p ON p.qid = c.qid AND p.doc_id = c.doc_id LEFT JOIN vote v ON v.qid = c.qid AND v.doc_id = c.doc_id
+  FROM ptop c LEFT JOIN vote v ON v.qid = c.qid AND v.doc_id = c.doc_id
   LEFT JOIN base b ON b.doc_id = c.doc_id LEFT JOIN src s ON s.src = c.qid AND s.dst = c.doc_id),
 lim AS (
   SELECT qid, min(text) AS t0, max(text) AS t1, min(neighbour) AS n0, max(neighbour) AS n1, min(authority) AS a0, max(authority) AS a1 FROM feat GROUP BY qid),
@@ -145,8 +146,8 @@ zp AS (SELECT * FROM post WHERE doc_id % 5 <> 0 AND zone IN ('facts', 'issues',
 zdf AS (SELECT zone, term, count(*) AS df FROM zp GROUP BY ALL),
 znorm AS (SELECT zone, doc_id, sqrt(sum((1 + log10(tf)) ** 2)) AS norm FROM zp GROUP BY ALL),
 vt AS (
-  SELECT doc_id AS qid, zone AS view, term, count(*) AS qtf FROM tok WHERE doc_id % 25 = 0 AND zone IN ('facts', 'issues') GROUP BY ALL
-  UNION ALL SELECT doc_id, 'fi', term, count(*) FROM tok WHERE doc_id % 25 = 0 AND zone IN ('facts', 'issues') GROUP BY ALL),
+  SELECT doc_id AS qid, zone AS view, term, count(*) AS qtf FROM tok WHERE doc_id % 5 = 0 AND zone IN ('facts', 'issues') GROUP BY ALL
+  UNION ALL SELECT doc_id, 'fi', term, count(*) FROM tok WHERE doc_id % 5 = 0 AND zone IN ('facts', 'issues') GROUP BY ALL),
 vw AS (SELECT qid, view, zone, term, (1 + log10(qtf)) * log10(n / df) AS w FROM vt JOIN zdf USING (term), npool),
 vn AS (SELECT qid, view, zone, sqrt(sum(w * w)) AS norm FROM vw GROUP BY ALL),
 zpair AS (
@@ -165,6 +166,56 @@ qsim AS (
   SELECT * FROM (SELECT q.qid, l.doc_id AS leader, round(sum(q.w * l.w), 9) AS sim FROM qw q JOIN dw l ON l.term = q.term WHERE l.doc_id IN (SELECT doc_id FROM lead) GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sim DESC, leader) <= 2),
 """
+#: The code of a letter; h and w don't part equal codes, what is no letter does.
+_SOUNDS = "CASE WHEN {0} IN ('b', 'f', 'p', 'v') THEN '1' WHEN {0} IN ('c', 'g', 'j', 'k', 'q', 's', 'x', 'z') THEN '2' WHEN {0} IN ('d', 't') THEN '3' WHEN {0} = 'l' THEN '4' WHEN {0} IN ('m', 'n') THEN '5' WHEN {0} = 'r' THEN '6' WHEN {0} IN ('h', 'w') THEN '7' ELSE '0' END"
+_SYSTEMS = """
+spop AS (SELECT dst AS doc_id, count(*) AS n FROM edges WHERE src % 5 <> 0 GROUP BY dst),
+plen AS (SELECT doc_id, sum(tf) AS len FROM pp GROUP BY doc_id),
+pavg AS (SELECT sum(tf) / any_value(n) AS mean FROM pp, npool),
+pbm AS (
+  SELECT qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * qtf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+  FROM dqt JOIN pdf USING (term) JOIN pp USING (term) JOIN plen USING (doc_id), npool, pavg GROUP BY ALL),
+sysr AS (
+  SELECT 'random' AS system, qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(('0x' || substr(md5('13/' || qid || '/' || doc_id), 1, 13))::BIGINT / 4503599627370496, 9) DESC, doc_id) AS INTEGER) AS rank FROM ptop
+  UNION ALL SELECT 'popularity', qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY coalesce(n, 0) DESC, doc_id) AS INTEGER) FROM ptop LEFT JOIN spop USING (doc_id)
+  UNION ALL SELECT 'tfidf', qid, doc_id, CAST(r AS INTEGER) FROM ptop
+  UNION ALL SELECT * FROM (SELECT 'bm25', qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS r FROM pbm) WHERE r <= 1000
+  UNION ALL SELECT 'net', qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(net, 6) DESC, round(text, 6) DESC, doc_id) AS INTEGER) FROM nets
+  UNION ALL SELECT 'net_dated', qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN coalesce(d.date >= dq.date, false) THEN 1 ELSE 0 END, round(net, 6) DESC, round(text, 6) DESC, doc_id) AS INTEGER)
+    FROM nets JOIN dq USING (qid) JOIN docs d USING (doc_id)),
+"""
+_TRIED = f"""
+trel AS (SELECT e.qid, n_rel, CAST(floor(('0x' || substr(md5('fold/' || e.qid), 1, 13))::BIGINT / 4503599627370496 * 5) AS INTEGER) AS fold FROM erel e JOIN dq ON dq.qid = e.qid WHERE dq.split = 'train'),
+trials(trial, w1, w2, w3) AS (VALUES {", ".join(f"({i}, " + ", ".join(f"{t[n]!r}::DOUBLE" for n in NAMES) + ")" for i, t in enumerate(TRIALS))}),
+trank AS (
+  SELECT trial, qid, doc_id, row_number() OVER (PARTITION BY trial, qid ORDER BY round(text * w1 + neighbour * w2 + authority * w3, 9) DESC, doc_id) AS rank FROM scal JOIN trel USING (qid), trials),
+tap AS (
+  SELECT trial, qid, sum(i / rank) AS s FROM (SELECT t.trial, t.qid, t.rank, row_number() OVER (PARTITION BY t.trial, t.qid ORDER BY t.rank) AS i FROM trank t JOIN edges e ON e.src = t.qid AND e.dst = t.doc_id) GROUP BY ALL),
+tried AS (
+  SELECT CAST(trials.trial AS INTEGER) AS trial, fold, avg(coalesce(s / n_rel, 0)) AS map, count(*) AS n FROM trel, trials LEFT JOIN tap ON tap.trial = trials.trial AND tap.qid = trel.qid GROUP BY trials.trial, fold),
+"""
+#: References that stand after a document's text, by the way they are written.
+_PLANTED = """CASE doc_id % 3 WHEN 0 THEN ['IPC_' || (doc_id % 60 + 100), 'IPC_' || (doc_id % 60 + 107)]
+  WHEN 1 THEN ['CRPC_' || (doc_id % 60 + 100), 'IPC_' || (doc_id % 60 + 107), 'IPC_34'] ELSE ['CONST_ART_' || (doc_id % 60 + 100), 'COASTAL_BOATS_ACT_' || (doc_id % 60 + 107)] END"""
+_HELD = f"""
+prov AS (SELECT CAST(s_suppkey AS BIGINT) AS id, 'IPC_' || (s_suppkey + 99) AS token, text FROM supplier JOIN documents ON doc_id = s_suppkey),
+held AS (
+  SELECT doc_id, doc_id % 50 + 1 AS id FROM documents WHERE doc_id % 4 = 0 AND doc_id % 50 + 1 IN (SELECT id FROM prov)
+  UNION SELECT doc_id, id FROM (SELECT doc_id, unnest({_PLANTED}) AS token FROM documents) JOIN prov USING (token)),
+pidf AS (SELECT id, ln((n + 1) / (count(DISTINCT doc_id) + 1)) AS idf FROM held, nd GROUP BY id, n),
+ptok AS (SELECT id, term, count(*) AS tf FROM (
+  SELECT id, unnest(regexp_extract_all(lower('section ' || (id + 99) || ' of the indian penal code, 1860 ' || text), '[a-z0-9]+')) AS term FROM prov) GROUP BY ALL),
+ptk AS (SELECT id, term, tf FROM ptok WHERE {KEPT} AND term <> 'section' AND NOT (term = CAST(id + 99 AS VARCHAR) AND tf = 1) UNION ALL SELECT id, 's.' || (id + 99), 1 FROM prov),
+pdl AS (SELECT id, sum(tf) AS len FROM ptk GROUP BY id),
+pdfr AS (SELECT term, count(*) AS df FROM ptk GROUP BY term),
+pnn AS (SELECT count(*) AS n FROM prov), pmean AS (SELECT sum(tf) / any_value(n) AS mean FROM ptk, pnn),
+pscore AS (
+  SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * qtf * 2.2 / (qtf + 1.2) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+  FROM qt JOIN pdfr USING (term) JOIN ptk USING (term) JOIN pdl USING (id), pnn, pmean GROUP BY ALL),
+ppred AS (
+  SELECT qid, id, score / sum(score) OVER (PARTITION BY qid) AS weight, rank FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM pscore WHERE score > 0 QUALIFY rank <= 10)),
+"""
 _CHAMPIONS = "champ AS (SELECT term, doc_id FROM dw QUALIFY row_number() OVER (PARTITION BY term ORDER BY round(w, 9) DESC, doc_id) <= 10),\n"
 _TIERS = """
 tier AS (
@@ -231,7 +282,16 @@ ORACLES = {
         WHERE distance <= 2 QUALIFY rank <= 5""",
         _SIMILAR,
     ),
-    "edit_distances": _sql("SELECT term, CAST(least(levenshtein(term, 'thing'), 5) AS INTEGER) AS distance FROM adf WHERE df >= 20"),
+    "edit_distances": _sql("SELECT term, CAST(least(levenshtein(term, 'thing'), 5) AS INTEGER) AS distance FROM adf"),
+    "soundex_groups": _sql(
+        f"""SELECT code, count(*) AS n FROM (
+          SELECT CASE WHEN regexp_matches(term, '^[a-z]') THEN upper(substr(term, 1, 1)) || rpad(substr(list_reduce(list_prepend({{'last': {_SOUNDS.format("substr(term, 1, 1)")}, 'out': ''}}, list_transform(range(2, length(term) + 1), lambda i: {{'last': {_SOUNDS.format("substr(term, i, 1)")}, 'out': ''}})),
+            lambda a, x: {{'last': CASE WHEN x['last'] = '7' THEN a['last'] ELSE x['last'] END, 'out': a['out'] || CASE WHEN x['last'] IN ('0', '7') OR x['last'] = a['last'] THEN '' ELSE x['last'] END}})['out'], 1, 3), 3, '0') ELSE term END AS code FROM adf WHERE regexp_matches(term, '^[a-z]{{3,}}$')) GROUP BY code"""
+    ),
+    "random_baseline": _sql(
+        """SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+        FROM (SELECT item_id AS qid, doc_id, round(('0x' || substr(md5('13/' || item_id || '/' || doc_id), 1, 13))::BIGINT / 4503599627370496, 9) AS score FROM benchmark, documents) QUALIFY rank <= 5"""
+    ),
     "tfidf_top10": _sql("SELECT qid, doc_id, score, rank FROM tfidf_r WHERE rank <= 10"),
     **{
         f"bm25_top10_{kind}": _sql(
@@ -240,7 +300,7 @@ ORACLES = {
         )
         for kind, f in _QTF.items()
     },
-    "zonepair_features": _sql("SELECT view, zone, count(*) AS pairs, round(sum(score), 4) AS total, round(max(score), 6) AS most FROM zpair GROUP BY ALL", _VIEWS),
+    "zonepair_features": _sql("SELECT view, zone, count(*) FILTER (score > 0) AS pairs, round(sum(score), 3) AS total, round(max(score), 6) AS most FROM zpair GROUP BY ALL", _VIEWS),
     "zonepair_score": _sql(
         """SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank
         FROM (SELECT qid, doc_id, round(sum(CASE WHEN view = 'facts' AND zone = 'facts' THEN score * 0.25 WHEN view = 'issues' AND zone = 'issues' THEN score * 0.25 WHEN view = 'fi' AND zone = 'all' THEN score * 0.5 ELSE 0 END), 6) AS score FROM zpair GROUP BY ALL)
@@ -253,6 +313,45 @@ ORACLES = {
         FROM (SELECT qid, doc_id, round(0.7 * hits / max(hits) OVER (PARTITION BY qid), 6) AS score FROM (SELECT qid, doc_id, sum(tf) AS hits FROM qt JOIN alls USING (term) GROUP BY ALL)) QUALIFY rank <= 5"""
     ),
     "neighbours_topk": _sql("SELECT qid, neighbour, round(sim, 6) AS sim, rank FROM near WHERE rank <= 5", FEATURES),
+    "neighbour_reasons": _sql("SELECT n.qid, e.dst AS doc_id, CAST(count(*) AS INTEGER) AS n, string_agg(n.neighbour, ',' ORDER BY n.sim DESC, n.neighbour) AS neighbours FROM near n JOIN edges e ON e.src = n.neighbour WHERE n.rank <= 20 GROUP BY ALL", FEATURES),
+    "union_recall": _sql(
+        """SELECT CAST(s AS INTEGER) AS size, round(avg(coalesce(hits, 0) / n_rel), 6) AS recall, round(avg(coalesce(n, 0)), 6) AS mean_size
+        FROM (SELECT s, qid, n_rel FROM erel, (VALUES (10), (50), (200)) AS v(s)) q
+        LEFT JOIN (SELECT s, qid, count(*) AS n, count(r.src) AS hits FROM ucand u LEFT JOIN edges r ON r.src = u.qid AND r.dst = u.doc_id GROUP BY ALL) c USING (s, qid) GROUP BY s""",
+        FEATURES,
+        "ucand AS (SELECT s, qid, doc_id FROM ptop, (VALUES (10), (50), (200)) AS v(s) WHERE r <= s UNION SELECT s, qid, doc_id FROM vtop, (VALUES (10), (50), (200)) AS v(s) WHERE r <= s),",
+    ),
+    "all_systems": _sql("SELECT system, qid, doc_id, rank FROM sysr WHERE rank <= 3", FEATURES, _SYSTEMS),
+    "system_measures": _sql(
+        """SELECT system, round(avg(ap), 6) AS map, round(avg(rr), 6) AS mrr, round(avg(p10), 6) AS p10, round(avg(ndcg10), 6) AS ndcg10 FROM (
+          SELECT system, qid, sum(coalesce(hit / rank, 0)) / any_value(n_rel) AS ap, coalesce(1 / min(rank), 0) AS rr, sum(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) / 10 AS p10,
+            sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(any_value(n_rel), 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg10
+          FROM (SELECT y.system, e.src AS qid, x.rank, n_rel, CASE WHEN x.rank IS NOT NULL THEN row_number() OVER (PARTITION BY y.system, e.src ORDER BY x.rank NULLS LAST) END AS hit
+            FROM edges e JOIN erel ON erel.qid = e.src, (SELECT DISTINCT system FROM sysr) y LEFT JOIN sysr x ON x.system = y.system AND x.qid = e.src AND x.doc_id = e.dst) GROUP BY ALL) GROUP BY system""",
+        FEATURES,
+        _SYSTEMS,
+    ),
+    "ap_from_ranks": _sql(
+        """SELECT qid, round(sum(i / rank) / any_value(n_rel), 6) AS ap FROM (SELECT p.qid, p.r AS rank, n_rel, row_number() OVER (PARTITION BY p.qid ORDER BY p.r) AS i
+          FROM ptop p JOIN edges e ON e.src = p.qid AND e.dst = p.doc_id JOIN erel ON erel.qid = p.qid) GROUP BY qid""",
+        FEATURES,
+    ),
+    "random_search": _sql("SELECT trial, fold, round(map, 6) AS map, n FROM tried", FEATURES, _TRIED),
+    "nested_cv": _sql(
+        """SELECT fold, trial, round(map, 6) AS map FROM (SELECT *, round((sum(map * n) OVER (PARTITION BY trial) - map * n) / (sum(n) OVER (PARTITION BY trial) - n), 9) AS others FROM tried)
+        QUALIFY row_number() OVER (PARTITION BY fold ORDER BY others DESC, trial) = 1""",
+        FEATURES,
+        _TRIED,
+    ),
+    "ablation": _sql(
+        "SELECT system, count(*) AS n_queries, " + ", ".join(f"round(avg({n}), 6) AS {n}" for n in _NAMES) + f""" FROM (SELECT system, qid, {MEASURES} FROM (
+          SELECT s.system, e.src AS qid, x.rank, n_rel, CASE WHEN x.rank IS NOT NULL THEN row_number() OVER (PARTITION BY s.system, e.src ORDER BY x.rank NULLS LAST) END AS hit
+          FROM edges e JOIN trel ON trel.qid = e.src, (SELECT DISTINCT system FROM ladr) s LEFT JOIN ladr x ON x.system = s.system AND x.qid = e.src AND x.doc_id = e.dst) GROUP BY ALL) GROUP BY system""",
+        FEATURES,
+        _TRIED,
+        f"""lad(system, w1, w2, w3) AS (VALUES {", ".join(f"('{k}', " + ", ".join(f"{w.get(n, 0.0) / sum(w.values())!r}::DOUBLE" for n in NAMES) + ")" for k, w in LADDER.items())}),
+ladr AS (SELECT system, qid, doc_id, row_number() OVER (PARTITION BY system, qid ORDER BY round(text * w1 + neighbour * w2 + authority * w3, 6) DESC, round(text, 6) DESC, doc_id) AS rank FROM scal, lad),""",
+    ),
     "neighbour_votes": _sql("SELECT qid, doc_id, round(neighbour, 6) AS votes FROM vote", FEATURES),
     "candidates_top20": _sql("SELECT qid, count(*) AS n, sum(coalesce(x.n, 0))::BIGINT AS citations FROM cand LEFT JOIN (SELECT dst AS doc_id, count(*) AS n FROM edges WHERE src % 5 <> 0 GROUP BY dst) x USING (doc_id) GROUP BY qid", FEATURES),
     "authority_loo": _sql("SELECT qid, doc_id, round(authority, 6) AS authority FROM feat", FEATURES),
@@ -332,6 +431,92 @@ ORACLES = {
         FEATURES,
         "src2 AS (SELECT e.* FROM edges e LEFT JOIN dq ON dq.qid = e.src WHERE dq.split IS NULL OR dq.split IN ('train', 'val')), base2 AS (SELECT dst AS doc_id, count(*) AS n FROM src2 GROUP BY dst),",
     ),
+    "leakage_audit": _sql(
+        """SELECT kind, count(*) AS n, round(avg(ap), 6) AS map FROM (
+          SELECT kind, qid, sum(coalesce(hit / rank, 0)) / any_value(n_rel) AS ap FROM (
+            SELECT k.kind, e.src AS qid, n_rel, x.rank, CASE WHEN x.rank IS NOT NULL THEN row_number() OVER (PARTITION BY k.kind, e.src ORDER BY x.rank NULLS LAST) END AS hit
+            FROM kinds k JOIN dq ON dq.split = k.split JOIN edges e ON e.src = dq.qid JOIN erel ON erel.qid = e.src LEFT JOIN leakr x ON x.kind = k.kind AND x.qid = e.src AND x.doc_id = e.dst) GROUP BY ALL) GROUP BY kind""",
+        FEATURES,
+        """kinds(kind, split) AS (VALUES ('a_clean', 'train'), ('a_own_links', 'train'), ('b_clean', 'val'), ('b_val_links', 'val'), ('c_full_text', 'val'), ('d_dated', 'val')),
+src2 AS (SELECT e.* FROM edges e LEFT JOIN dq ON dq.qid = e.src WHERE dq.split IS NULL OR dq.split IN ('train', 'val')), base2 AS (SELECT dst AS doc_id, count(*) AS n FROM src2 GROUP BY dst),
+aqt AS (SELECT doc_id AS qid, term, count(*) AS qtf FROM tok WHERE doc_id % 5 = 0 GROUP BY ALL),
+aq0 AS (SELECT qid, term, (1 + log10(qtf)) * log10(n / df) AS w FROM aqt JOIN pdf USING (term), npool),
+aqn AS (SELECT qid, sqrt(sum(w * w)) AS norm FROM aq0 GROUP BY qid),
+atop AS (
+  SELECT qid, doc_id, text FROM (SELECT qid, doc_id, round(sum(CASE WHEN aqn.norm > 0 THEN aq0.w / aqn.norm ELSE 0 END * (1 + log10(tf)) / pnorm.norm), 6) AS text
+    FROM aq0 JOIN aqn USING (qid) JOIN pp USING (term) JOIN pnorm USING (doc_id) GROUP BY qid, doc_id) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY text DESC, doc_id) <= 1000),
+leakf AS (
+  SELECT k.kind, f.qid, f.doc_id, f.text, f.neighbour, CASE k.kind WHEN 'a_own_links' THEN ln(1 + coalesce(b.n, 0)) WHEN 'b_val_links' THEN ln(1 + coalesce(c.n, 0)) ELSE f.authority END AS authority
+  FROM feat f JOIN dq USING (qid) JOIN kinds k ON k.split = dq.split AND k.kind <> 'c_full_text' LEFT JOIN base b ON b.doc_id = f.doc_id LEFT JOIN base2 c ON c.doc_id = f.doc_id
+  UNION ALL SELECT 'c_full_text', a.qid, a.doc_id, a.text, coalesce(v.neighbour, 0), ln(1 + coalesce(b.n, 0) - CASE WHEN s.src IS NULL THEN 0 ELSE 1 END)
+  FROM atop a JOIN dq ON dq.qid = a.qid AND dq.split = 'val' LEFT JOIN vote v ON v.qid = a.qid AND v.doc_id = a.doc_id LEFT JOIN base b ON b.doc_id = a.doc_id LEFT JOIN src s ON s.src = a.qid AND s.dst = a.doc_id),
+leakl AS (SELECT kind, qid, min(text) AS t0, max(text) AS t1, min(neighbour) AS n0, max(neighbour) AS n1, min(authority) AS a0, max(authority) AS a1 FROM leakf GROUP BY ALL),
+leaks AS (
+  SELECT kind, qid, doc_id, CASE WHEN t1 > t0 THEN (text - t0) / (t1 - t0) ELSE 0 END AS text, CASE WHEN n1 > n0 THEN (neighbour - n0) / (n1 - n0) ELSE 0 END AS neighbour,
+    CASE WHEN a1 > a0 THEN (authority - a0) / (a1 - a0) ELSE 0 END AS authority FROM leakf JOIN leakl USING (kind, qid)),
+leakr AS (
+  SELECT kind, qid, doc_id, row_number() OVER (PARTITION BY kind, qid ORDER BY CASE WHEN kind = 'd_dated' AND coalesce(d.date >= dq.date, false) THEN 1 ELSE 0 END,
+    round(text * 0.35444 + neighbour * 0.48788 + authority * 0.15768, 6) DESC, round(text, 6) DESC, doc_id) AS rank FROM leaks JOIN dq USING (qid) JOIN docs d USING (doc_id)),""",
+    ),
+    "bootstrap_ci": _sql(
+        """SELECT round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM (
+          SELECT b, avg(delta) AS m, any_value(mean) AS mean FROM (
+            SELECT b, mean, CAST(floor(('0x' || substr(md5('13/' || b || '/' || i), 1, 13))::BIGINT / 4503599627370496 * n) AS BIGINT) AS place
+            FROM (SELECT count(*) AS n, avg(delta) AS mean FROM placed), UNNEST(range(0, 1000)) AS t(b), UNNEST(range(1, n + 1)) AS u(i)) JOIN placed USING (place) GROUP BY b)""",
+        RELEVANCE,
+        """judb AS (
+  SELECT r.qid, x.rank, CASE WHEN x.rank IS NOT NULL THEN row_number() OVER (PARTITION BY r.qid ORDER BY x.rank NULLS LAST) END AS hit, n_rel
+  FROM rel r JOIN nrel USING (qid) LEFT JOIN (SELECT * FROM bm25_r WHERE rank <= 100) x ON x.qid = r.qid AND x.doc_id = r.doc_id),
+placed AS (
+  SELECT a.ap - b.ap AS delta, row_number() OVER (ORDER BY qid) - 1 AS place FROM (SELECT qid, sum(coalesce(hit / rank, 0)) / any_value(n_rel) AS ap FROM jud GROUP BY qid) a
+  JOIN (SELECT qid, sum(coalesce(hit / rank, 0)) / any_value(n_rel) AS ap FROM judb GROUP BY qid) b USING (qid)),""",
+    ),
+    "point_lookup": _sql("SELECT doc_id, court, date, CAST(length(text) AS INTEGER) AS n_chars FROM docs JOIN documents USING (doc_id) WHERE doc_id = 17"),
+    "position_bytes": _sql(
+        f"""SELECT zone, count(*) AS lists, sum(n)::BIGINT AS positions, sum(bytes)::BIGINT AS bytes, sum(total)::BIGINT AS checksum FROM (
+          SELECT zone, count(*) AS n, sum({_VBYTE("gap")}) AS bytes, sum(pos + 1) AS total
+          FROM (SELECT *, pos - coalesce(lag(pos) OVER (PARTITION BY zone, term, doc_id ORDER BY pos), 0) AS gap FROM tok WHERE zone IN ('facts', 'issues')) GROUP BY zone, term, doc_id) GROUP BY zone"""
+    ),
+    "boolean_trace": _sql(
+        f"""SELECT CAST(step AS INTEGER) AS step, node, docs FROM (VALUES (0, 'und', (SELECT count(*) FROM ({_HAS("und")}))), (1, 'que', (SELECT count(*) FROM ({_HAS("que")}))),
+          (2, '(und OR que)', (SELECT count(*) FROM ({_HAS("und")} UNION {_HAS("que")}))), (3, 'die', (SELECT count(*) FROM ({_HAS("die")}))),
+          (4, 'NOT die', (SELECT count(*) FROM (SELECT doc_id FROM docs EXCEPT {_HAS("die")}))), (5, 'facts:la', (SELECT count(*) FROM ({_HAS("la", "facts")}))),
+          (6, '((und OR que) AND NOT die AND facts:la)', (SELECT count(*) FROM ((({_HAS("und")} UNION {_HAS("que")}) EXCEPT {_HAS("die")}) INTERSECT {_HAS("la", "facts")})))) AS v(step, node, docs)"""
+    ),
+    "title_leaks": _sql(
+        """SELECT qid, doc_id, contains(x, t) AS exact, len(str_split(t, ' v. ')) = 2 AND list_bool_and(list_transform(str_split(t, ' v. '), lambda p: contains(x, p))) AS parties
+        FROM rel JOIN (SELECT item_id AS qid, lower(text) AS x FROM benchmark) USING (qid) JOIN (
+          SELECT doc_id, lower(CASE WHEN doc_id % 2 = 0 THEN concat_ws(' ', w[1], w[2]) ELSE w[1] || ' v. ' || coalesce(w[3], 'x') END) AS t FROM (SELECT doc_id, str_split(text, ' ') AS w FROM documents)) USING (doc_id)""",
+        RELEVANCE,
+    ),
+    "and_order": _sql(
+        """SELECT query, (CASE WHEN l3 = 0 THEN l1 + l2 ELSE l1 + l2 + (SELECT count(*) FROM sets s WHERE s.query = q.query AND has1 AND has2) + l3 END)::BIGINT AS written,
+          (CASE WHEN c = '' THEN s1 + s2 ELSE s1 + s2 + (SELECT count(*) FROM sizes s WHERE s.query = q.query AND first2) + s3 END)::BIGINT AS by_size, (SELECT count(*) FROM sets s WHERE s.query = q.query AND has1 AND has2 AND has3) AS docs FROM q""",
+        """
+asked(query, a, b, c) AS (VALUES ('die und', 'die', 'und', ''), ('que la de', 'que', 'la', 'de'), ('thing onerr und', 'thing', 'onerr', 'und')),
+sets AS (
+  SELECT query, doc_id, bool_or(term = a) AS has1, bool_or(term = b) AS has2, bool_or(term = c) OR any_value(c) = '' AS has3 FROM asked JOIN alls ON term IN (a, b, c) GROUP BY ALL),
+lens AS (SELECT query, a, b, c, count(*) FILTER (term = a) AS l1, count(*) FILTER (term = b) AS l2, count(*) FILTER (term = c) AS l3 FROM asked JOIN alls ON term IN (a, b, c) GROUP BY ALL),
+ordr AS (SELECT query, w, l, row_number() OVER (PARTITION BY query ORDER BY l, w) AS r FROM (SELECT query, a AS w, l1 AS l FROM lens UNION ALL SELECT query, b, l2 FROM lens UNION ALL SELECT query, c, l3 FROM lens WHERE c <> '')),
+q AS (SELECT lens.*, (SELECT l FROM ordr o WHERE o.query = lens.query AND r = 1) AS s1, (SELECT l FROM ordr o WHERE o.query = lens.query AND r = 2) AS s2, (SELECT l FROM ordr o WHERE o.query = lens.query AND r = 3) AS s3 FROM lens),
+sizes AS (SELECT o.query, doc_id, count(*) = 2 AS first2 FROM ordr o JOIN alls ON term = w WHERE r <= 2 GROUP BY ALL),
+""",
+    ),
+    "statute_references": "SELECT doc_id, unnest(" + _PLANTED + ") AS token FROM documents",
+    "document_provisions": _sql("SELECT doc_id, id FROM held", _HELD),
+    "provision_coverage": _sql("SELECT count(DISTINCT doc_id) AS with_provision, count(DISTINCT id) AS provisions, count(*) AS pairs, any_value(n) AS docs FROM held, nd", _HELD),
+    "provision_idf": _sql("SELECT id, round(idf, 6) AS idf FROM pidf", _HELD),
+    "provision_predictions": _sql("SELECT qid, id, round(weight, 6) AS weight, rank FROM ppred", _HELD),
+    "provision_recall": _sql(
+        "SELECT round(avg(r), 6) AS recall FROM (SELECT qid, avg(CASE WHEN p.id IS NULL THEN 0 ELSE 1 END) AS r FROM (SELECT item_id AS qid, item_id % 20 + k AS id FROM benchmark, (VALUES (1), (2)) AS v(k)) g LEFT JOIN ppred p USING (qid, id) GROUP BY qid)", _HELD
+    ),
+    "statute_channel": _sql(
+        """SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (
+          SELECT qid, doc_id, round(CASE WHEN max(t.score) OVER (PARTITION BY qid) > 0 THEN t.score / max(t.score) OVER (PARTITION BY qid) ELSE 0 END + 0.3 * coalesce(channel, 0), 6) AS score
+          FROM (SELECT * FROM tfidf_r WHERE rank <= 100) t LEFT JOIN (
+            SELECT qid, doc_id, sum(weight * idf) / (SELECT max(idf) FROM pidf) AS channel FROM ppred JOIN held USING (id) JOIN pidf USING (id) GROUP BY ALL) USING (qid, doc_id)) QUALIFY rank <= 10""",
+        _HELD,
+    ),
     "bm25_grid": _sql(
         """SELECT k1, b, round(sum(s / n_rel) / (SELECT count(*) FROM nrel), 6) AS map FROM (
           SELECT k1, b, qid, sum(i / rank) AS s FROM (SELECT *, row_number() OVER (PARTITION BY k1, b, qid ORDER BY rank) AS i FROM (
@@ -347,7 +532,6 @@ ORACLES = {
               SELECT k, p, n.qid, e.dst AS doc_id, round(sum(n.sim ** p), 6) AS score FROM near n JOIN edges e ON e.src = n.neighbour, (VALUES (5), (20)) AS a(k), (VALUES (1), (2)) AS b(p) WHERE n.rank <= k GROUP BY ALL))
             JOIN (SELECT src AS qid, dst AS doc_id FROM edges WHERE src % 5 = 0) USING (qid, doc_id)) GROUP BY ALL) JOIN erel USING (qid) GROUP BY k, p""",
         FEATURES,
-        "erel AS (SELECT src AS qid, count(*) AS n_rel FROM edges WHERE src % 5 = 0 GROUP BY src),",
     ),
     "url_canonical": _sql("SELECT page_id, canonical, host FROM canon", _URL),
     "host_pages": _sql("SELECT host, count(*) AS pages, count(DISTINCT canonical) AS distinct_pages FROM canon GROUP BY host", _URL),
@@ -390,8 +574,9 @@ ORACLES = {
     "bounded_history": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5",
     "idempotent_saves": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL",
     "search_request": _sql(
-        """SELECT CAST(row_number() OVER (ORDER BY round(net, 6) DESC, round(text, 6) DESC, doc_id) AS INTEGER) AS rank, doc_id, round(net, 6) AS score
-        FROM (SELECT doc_id, text, text * 0.35444 / 0.51212 + authority * 0.15768 / 0.51212 AS net FROM rscal) QUALIFY rank <= 20""",
+        """SELECT CAST(row_number() OVER (ORDER BY round(net, 6) DESC, round(text, 6) DESC, doc_id) AS INTEGER) AS rank, doc_id, round(net, 6) AS score, CAST(reasons AS INTEGER) AS n_reasons
+        FROM (SELECT doc_id, text, reasons, text * 0.35444 + neighbour * 0.48788 + authority * 0.15768 AS net FROM rscal) QUALIFY rank <= 20""",
+        FEATURES,
         """
 rq AS (SELECT term, count(*) AS qtf FROM (SELECT unnest(regexp_extract_all('und die thing que ofthe hation onerr', '[a-z0-9]+')) AS term) GROUP BY term),
 rw0 AS (SELECT term, (1 + log10(qtf)) * log10(n / df) AS w FROM rq JOIN adf USING (term), nd),
@@ -399,9 +584,16 @@ rw AS (SELECT term, w / (SELECT sqrt(sum(w * w)) FROM rw0) AS w FROM rw0),
 rs AS (
   SELECT doc_id, round(sum(rw.w * dw.w), 6) AS text FROM rw JOIN dw USING (term) JOIN docs USING (doc_id)
   WHERE court IN ('SC', 'HC') AND (year(date) BETWEEN 2001 AND 2015 OR date IS NULL) GROUP BY doc_id),
-rtop AS (SELECT doc_id, text, ln(1 + coalesce(pop.n, 0)) AS authority FROM rs LEFT JOIN pop USING (doc_id) QUALIFY row_number() OVER (ORDER BY text DESC, doc_id) <= 1000),
+rn0 AS (SELECT term, (1 + log10(qtf)) * log10(n / df) AS w FROM rq JOIN tdf USING (term), nt WHERE df < n),
+rnear AS (
+  SELECT * FROM (SELECT t.qid AS neighbour, round(sum(a.w / (SELECT sqrt(sum(w * w)) FROM rn0) * (1 + log10(t.qtf)) / tnorm.norm), 9) AS sim FROM rn0 a JOIN tt t USING (term) JOIN tnorm USING (qid) GROUP BY ALL)
+  WHERE sim > 0 ORDER BY sim DESC, neighbour LIMIT 20),
+rvote AS (SELECT e.dst AS doc_id, sum(sim ** 4) AS neighbour, count(*) AS reasons FROM rnear JOIN edges e ON e.src = rnear.neighbour GROUP BY ALL),
+rtop AS (
+  SELECT doc_id, text, coalesce(neighbour, 0) AS neighbour, coalesce(reasons, 0) AS reasons, ln(1 + coalesce(base.n, 0)) AS authority
+  FROM (SELECT * FROM rs ORDER BY text DESC, doc_id LIMIT 1000) LEFT JOIN rvote USING (doc_id) LEFT JOIN base USING (doc_id)),
 rscal AS (
-  SELECT doc_id, (text - min(text) OVER ()) / (max(text) OVER () - min(text) OVER ()) AS text, (authority - min(authority) OVER ()) / (max(authority) OVER () - min(authority) OVER ()) AS authority FROM rtop),
+  SELECT doc_id, reasons, (text - min(text) OVER ()) / (max(text) OVER () - min(text) OVER ()) AS text, (neighbour - min(neighbour) OVER ()) / (max(neighbour) OVER () - min(neighbour) OVER ()) AS neighbour, (authority - min(authority) OVER ()) / (max(authority) OVER () - min(authority) OVER ()) AS authority FROM rtop),
 """,
     ),
 }

@@ -11,7 +11,7 @@ from quern.functions import analysis, porter
 from quern.operators import tolerant
 from quern.sources.corpus import POSITIONAL
 
-from .language import Node, QuerySyntaxError, day, parse, words, years
+from .language import Node, QuerySyntaxError, day, parse, pretty, words, years
 
 
 class Searcher:
@@ -122,6 +122,42 @@ class Searcher:
         found = self.docs_of(parse(query))
         return self.docs.select("doc_id") if found is None else found
 
+    def trace(self, query: str) -> DataFrame:
+        """(step, node, docs): the number of documents that each node of the tree finds, inner nodes after their children, in one job."""
+        steps: list[tuple[str, DataFrame]] = []
+
+        def walk(node: Node) -> None:
+            for child in node.children:
+                walk(child)
+            found = self.docs_of(node)
+            steps.append((pretty(node), self.docs.select("doc_id") if found is None else found))
+
+        walk(parse(query))
+        parts = [f.agg(F.count("*").alias("docs")).select(F.lit(i).alias("step"), F.lit(label).alias("node"), "docs") for i, (label, f) in enumerate(steps)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def and_costs(self, queries: list[str]) -> DataFrame:
+        """(query, written, by_size, docs): what intersecting the words of a conjunction list by list reads,
+        in the order written and from the shortest list on. Sizes of a few words' lists are known to the driver."""
+        whole = self.postings.where("zone = 'all'")
+        out = None
+        for query in queries:
+            terms = list(dict.fromkeys(self.index_terms(query)))
+            sizes = {r["term"]: r["n"] for r in whole.where(F.col("term").isin(*terms)).groupBy("term").agg(F.count("*").alias("n")).collect()}
+            lists = {t: sizes.get(t, 0) for t in terms}
+            orders = {"written": terms, "by_size": sorted(terms, key=lambda t: (lists[t], t))}
+            # Every document with the places of its words: the length of the common prefix says which intersections it is in.
+            has = whole.where(F.col("term").isin(*terms)).groupBy("doc_id").agg(F.collect_set("term").alias("have"))
+            cols = []
+            for name, order in orders.items():
+                met = [F.count_if(F.forall(F.array(*map(F.lit, order[: i + 1])), lambda t: F.array_contains("have", t))) for i in range(len(order))]
+                reads = sum((met[i - 1] + F.lit(lists[order[i]]) for i in range(1, len(order))), F.lit(0).cast("long"))
+                cols.append(reads.cast("long").alias(name))
+                last = met[-1]
+            one = has.agg(*cols, last.alias("docs")).select(F.lit(query).alias("query"), "written", "by_size", "docs")
+            out = one if out is None else out.unionByName(one)
+        return out
+
     def ranked(self, query: str, k: int | None = None) -> DataFrame:
         """(doc_id, score, rank): sum over the query's words of (1 + log tf) times idf in the whole text."""
         node = parse(query)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import analysis, citations, statutes, urls
+from quern.operators import statutes as bridge
 from quern.operators import crawl, evaluation, features, fusion, index, profiling, pruning, scoring, search, sessions, tolerant, tuning
 from quern.plans.compiler import Searcher
 from quern.sources.corpus import ROLES, ZONES, Corpus
@@ -12,6 +13,7 @@ from quern.sources.corpus import ROLES, ZONES, Corpus
 QUERIES = {}
 FI = ("facts", "issues")
 VIEWS = ("facts", "issues", "fi")
+PAIR_ZONES = ("facts", "issues", "decision", "all")
 PAIR_WEIGHTS = {("facts", "facts"): 0.25, ("issues", "issues"): 0.25, ("fi", "all"): 0.5}
 FIRST_STAGE = 100
 
@@ -74,9 +76,9 @@ def postings_preview(c):
 
 @query
 def intersection_costs(c):
-    """Merging the lists of frequent terms with and without skips."""
-    post = whole(c)
-    lists = post.groupBy("term").agg(F.count("*").alias("df"), F.array_sort(F.collect_list("doc_id")).alias("ds")).orderBy(F.desc("df"), "term").limit(12)
+    """Merging all pairs of the lists of the 33 most frequent terms with and without skips."""
+    top = c.text_index.df.orderBy(F.desc("df"), "term").limit(33)
+    lists = whole(c).join(F.broadcast(top), "term").groupBy("term").agg(F.array_sort(F.collect_list("doc_id")).alias("ds"))
     a, b = lists.select(F.col("term").alias("t"), F.col("ds").alias("a")), lists.select(F.col("term").alias("u"), F.col("ds").alias("b"))
     return index.intersection_costs(a.join(b, F.col("t") < F.col("u")))
 
@@ -119,7 +121,7 @@ def bool_rank(c):
 
 
 def vocabulary(c):
-    return whole(c).groupBy("term").agg(F.count("*").alias("df"))
+    return c.text_index.df
 
 
 @query
@@ -146,8 +148,47 @@ def spelling(c):
 
 @query
 def edit_distances(c):
-    terms = vocabulary(c).where("df >= 20").select("term")
-    return terms.select("term", tolerant.bounded_distance(F.col("term"), F.lit("thing"), 4).alias("distance"))
+    return vocabulary(c).select("term", tolerant.bounded_distance(F.col("term"), F.lit("thing"), 4).alias("distance"))
+
+
+@query
+def stemmed_postings(c):
+    """Frequencies of the stemmed index, as the reference builds it by default."""
+    toks = analysis.with_stems(whole(c))
+    return toks.groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.sum("tf").alias("tokens"))
+
+
+@query
+def point_lookup(c):
+    """One document by its id."""
+    return c.case(17).select("doc_id", "court", "date", F.length("text").alias("n_chars"))
+
+
+@query
+def position_bytes(c):
+    """Positions in gaps of variable bytes, by zone: their number, their bytes, and a checksum of what decoding gives back."""
+    return index.position_sizes(c.tokens)
+
+
+@query
+def boolean_trace(c):
+    """What each node of a query's tree finds, inner nodes last, with the sizes that an intersection reads."""
+    return searcher(c).trace("(und OR que) AND NOT die AND facts:la")
+
+
+@query
+def and_order(c):
+    """Reads of a conjunction in the written order and from the rarest term on."""
+    return searcher(c).and_costs(["die und", "que la de", "thing onerr und"])
+
+
+@query
+def title_leaks(c):
+    """Whether a benchmark item holds the title of a relevant document: its first words, or two parties made of them."""
+    w = F.split("text", " ")
+    title = F.when(F.col("doc_id") % 2 == 0, F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(1)))).otherwise(F.concat(F.get(w, F.lit(0)), F.lit(" v. "), F.coalesce(F.get(w, F.lit(2)), F.lit("x"))))
+    titles = c.table("documents").select("doc_id", title.alias("title"))
+    return profiling.title_leaks(c.queries, titles, qrels(c).select(F.col("qid").alias("src"), F.col("doc_id").alias("dst")))
 
 
 @query
@@ -160,11 +201,11 @@ def soundex_groups(c):
 
 @query
 def tfidf_top10(c):
-    return scoring.ranked(scoring.tfidf(whole(c), c.query_terms, n_docs(c)), 10)
+    return scoring.ranked(scoring.tfidf(c.text_index, c.query_terms, n_docs(c)), 10)
 
 
 def _bm25(c, query_tf):
-    return scoring.ranked(scoring.bm25(whole(c), c.query_terms, n_docs(c), query_tf=query_tf), 10)
+    return scoring.ranked(scoring.bm25(c.text_index, c.query_terms, n_docs(c), query_tf=query_tf), 10)
 
 
 @query
@@ -183,33 +224,26 @@ def bm25_top10_saturated(c):
 
 
 def doc_query_terms(c, zones=FI):
-    """(qid, term, qtf) of the documents that serve as queries, from their facts and issues."""
-    own = c.postings.where("doc_id % 5 = 0").where(F.col("zone").isin(*zones))
-    return own.groupBy(F.col("doc_id").alias("qid"), "term").agg(F.sum("tf").alias("qtf"))
-
-
-def pool_postings(c):
-    return c.whole.where("doc_id % 5 <> 0")
-
-
-def pool_size(c):
-    return c.table("documents").where("doc_id % 5 <> 0").count()
+    return c.doc_query_terms(zones)
 
 
 def zone_pair_rows(c):
     views = None
     for name, zones in (("facts", ("facts",)), ("issues", ("issues",)), ("fi", FI)):
-        part = doc_query_terms(c, zones).where("qid % 25 = 0").withColumn("view", F.lit(name))
+        part = doc_query_terms(c, zones).withColumn("view", F.lit(name))
         views = part if views is None else views.unionByName(part)
     post = c.postings.where("doc_id % 5 <> 0")
-    return scoring.zone_pairs(post.where(F.col("zone").isin("facts", "issues", "decision", "all")), views, pool_size(c))
+    return scoring.zone_pairs(post.where(F.col("zone").isin(*PAIR_ZONES)), views, c.n_pool, VIEWS, PAIR_ZONES)
 
 
 @query
 def zonepair_features(c):
-    """All views of every twenty-fifth document against four zones of the pool, summed up by pair."""
+    """All views of every query against four zones of the pool, summed up by pair."""
     rows = zone_pair_rows(c)
-    return rows.groupBy("view", "zone").agg(F.count("*").alias("pairs"), F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 6).alias("most"))
+    names = [(v, z) for v in VIEWS for z in PAIR_ZONES]
+    cells = [F.struct(F.count_if(F.col(f"{v}_{z}") > 0).alias("pairs"), F.round(F.sum(f"{v}_{z}"), 3).alias("total"), F.round(F.max(f"{v}_{z}"), 6).alias("most")).alias(f"{v}_{z}") for v, z in names]
+    one = F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.lit(z).alias("zone"), F.col(f"{v}_{z}").alias("x")) for v, z in names]))
+    return rows.agg(*cells).select(one.alias("r")).select("r.view", "r.zone", "r.x.*")
 
 
 @query
@@ -224,13 +258,14 @@ def popularity(c):
 
 @query
 def random_baseline(c):
-    pairs = c.queries.select("qid").join(c.docs.select("doc_id"), F.col("qid") % 7 == F.col("doc_id") % 7)
-    return scoring.ranked(scoring.random_scores(pairs), 5)
+    """A random order of all documents for each benchmark item, which is few rows against all."""
+    pairs = c.docs.select("doc_id").crossJoin(scoring.few(c.queries.select("qid")))
+    return scoring.ranked(scoring.random_scores(pairs), 5, digits=9)
 
 
 @query
 def demonstration_ranker(c):
-    return scoring.ranked(scoring.term_overlap(whole(c), c.query_terms), 5)
+    return scoring.ranked(scoring.term_overlap(whole(c), scoring.few(c.query_terms)), 5)
 
 
 # ---- features and the net score
@@ -241,8 +276,8 @@ def neighbours_topk(c):
     return features.neighbours(doc_query_terms(c), c.doc_queries, 5).select("qid", "neighbour", F.round("sim", 6).alias("sim"), "rank")
 
 
-def vote_rows(c, k=5):
-    return features.votes(features.neighbours(doc_query_terms(c), c.doc_queries, k), c.edges.where("src % 5 = 0"), k, 2)
+def vote_rows(c):
+    return features.votes(features.neighbours(doc_query_terms(c), c.doc_queries), c.edges.where("src % 5 = 0"))
 
 
 @query
@@ -250,8 +285,16 @@ def neighbour_votes(c):
     return vote_rows(c).select("qid", "doc_id", F.round("neighbour", 6).alias("votes"))
 
 
+@query
+def neighbour_reasons(c):
+    """The citing neighbours of each voted document, best first, as one text."""
+    out = features.vote_reasons(features.neighbours(doc_query_terms(c), c.doc_queries), c.edges.where("src % 5 = 0"))
+    return out.select("qid", "doc_id", F.size("reasons").alias("n"), F.array_join(F.transform("reasons", lambda r: r["neighbour"].cast("string")), ",").alias("neighbours"))
+
+
 def text_scores(c):
-    return scoring.ranked(scoring.tfidf(pool_postings(c), doc_query_terms(c), pool_size(c)), 20)
+    """The first stage: the best 1000 of the pool by tf-idf."""
+    return scoring.ranked(scoring.tfidf(c.pool_index, doc_query_terms(c), c.n_pool), features.FIRST_STAGE)
 
 
 @query
@@ -263,9 +306,14 @@ def candidates_top20(c):
 
 
 def assembled(c, splits=("train",), leave_one_out=True):
-    text, near = text_scores(c), vote_rows(c)
-    cand = features.candidates([(text, "score", 20), (near.withColumn("neighbour", F.round("neighbour", 6)), "neighbour", 5)])
-    return features.assembled(cand, text, near, c.edges, c.doc_queries, splits, leave_one_out)
+    return features.assembled(text_scores(c), vote_rows(c), c.edges, c.doc_queries, splits, leave_one_out)
+
+
+@query
+def union_recall(c):
+    """What the union of the best by text and by votes finds of the cited documents, by its size."""
+    near = vote_rows(c).withColumn("neighbour", F.round("neighbour", 6))
+    return rounded(features.union_recall([(text_scores(c), "score"), (near, "neighbour")], c.relevant, (10, 50, 200)))
 
 
 NAMES = ["text", "neighbour", "authority"]
@@ -316,8 +364,7 @@ def reweighted_scores(c):
 @query
 def temporal_filter(c):
     q, d = c.doc_queries.select("qid", F.col("date").alias("qd")), c.docs.select("doc_id", F.col("date").alias("dd"))
-    rel = c.edges.where("src % 5 = 0").select(F.col("src").alias("qid"), F.col("dst").alias("doc_id"))
-    return rel.join(q, "qid").join(d, "doc_id").where(features.precedes(F.col("dd"), F.col("qd"))).select("qid", "doc_id")
+    return c.relevant.join(q, "qid").join(d, "doc_id").where(features.precedes(F.col("dd"), F.col("qd"))).select("qid", "doc_id")
 
 
 @query
@@ -333,8 +380,8 @@ def recency_and_court(c):
 
 def two_lists(c):
     n = n_docs(c)
-    a = scoring.ranked(scoring.tfidf(whole(c), c.query_terms, n), 50).withColumn("list_no", F.lit(1))
-    b = scoring.ranked(scoring.bm25(whole(c), c.query_terms, n), 50).withColumn("list_no", F.lit(2))
+    a = scoring.ranked(scoring.tfidf(c.text_index, c.query_terms, n), 50).withColumn("list_no", F.lit(1))
+    b = scoring.ranked(scoring.bm25(c.text_index, c.query_terms, n), 50).withColumn("list_no", F.lit(2))
     return a, b
 
 
@@ -359,7 +406,7 @@ def elimination(c):
 
 @query
 def champions(c):
-    cand = pruning.champion_candidates(scoring.document_weights(whole(c)), c.query_terms, 10)
+    cand = pruning.champion_candidates(c.text_index.weights, c.query_terms, 10)
     return cand.groupBy("qid").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
@@ -382,21 +429,20 @@ def leaders(c):
 
 @query
 def cluster_candidates(c):
-    post = whole(c)
-    q = scoring.query_weights(c.query_terms, scoring.frequencies(post), n_docs(c))
-    return pruning.cluster_candidates(q, scoring.document_weights(post), leaders(c), 2).groupBy("qid").agg(F.count("*").alias("n"))
+    q = scoring.query_weights(c.query_terms, c.text_index.df, n_docs(c))
+    return pruning.cluster_candidates(q, c.text_index.weights, leaders(c), 2).groupBy("qid").agg(F.count("*").alias("n"))
 
 
 @query
 def pruning_work(c):
     post = whole(c)
-    cand = pruning.champion_candidates(scoring.document_weights(post), c.query_terms, 10)
+    cand = pruning.champion_candidates(c.text_index.weights, c.query_terms, 10)
     return pruning.work(post, c.query_terms, cand)
 
 
 @query
 def heap_top(c):
-    scores = scoring.bm25(whole(c), c.query_terms, n_docs(c)).withColumn("score", F.round("score", 6)).where("qid = 0")
+    scores = scoring.bm25(c.text_index, c.query_terms, n_docs(c)).withColumn("score", F.round("score", 6)).where("qid = 0")
     return pruning.top_k(scores, 25).select("doc_id", "score")
 
 
@@ -411,7 +457,7 @@ def qrels(c):
 
 
 def text_ranking(c):
-    return scoring.ranked(scoring.tfidf(whole(c), c.query_terms, n_docs(c)), FIRST_STAGE)
+    return scoring.ranked(scoring.tfidf(c.text_index, c.query_terms, n_docs(c)), FIRST_STAGE)
 
 
 def rounded(df, digits=6):
@@ -446,14 +492,49 @@ def micro_averages(c):
 @query
 def bootstrap_ci(c):
     a = evaluation.measures(text_ranking(c), qrels(c)).select("qid", F.col("ap").alias("x"))
-    b = evaluation.measures(scoring.ranked(scoring.bm25(whole(c), c.query_terms, n_docs(c)), FIRST_STAGE), qrels(c)).select("qid", F.col("ap").alias("y"))
+    b = evaluation.measures(scoring.ranked(scoring.bm25(c.text_index, c.query_terms, n_docs(c)), FIRST_STAGE), qrels(c)).select("qid", F.col("ap").alias("y"))
     return rounded(evaluation.bootstrap(a.join(b, "qid").select("qid", (F.col("x") - F.col("y")).alias("delta"))))
 
 
 @query
 def filter_statistics(c):
-    rel = c.edges.where("src % 5 = 0").select(F.col("src").alias("qid"), F.col("dst").alias("doc_id"))
-    return rounded(evaluation.filter_statistics(c.doc_queries, c.pool, rel, text_scores(c)))
+    return rounded(evaluation.filter_statistics(c.doc_queries, c.pool, c.relevant, text_scores(c)))
+
+
+SYSTEMS = ("random", "popularity", "tfidf", "bm25", "net", "net_dated")
+
+
+def system_rankings(c):
+    """Rankings of the documents as queries by all systems, to the depth of the first stage."""
+    text = text_scores(c)
+    q, d = c.doc_queries.select("qid", F.col("date").alias("qd")), c.docs.select("doc_id", F.col("date").alias("dd"))
+    nets = net_rows(c).join(q, "qid").join(d, "doc_id")
+    pairs = text.select("qid", "doc_id")
+    pop = pairs.join(scoring.popularity(c.edges.where("src % 5 <> 0")), "doc_id", "left").select("qid", "doc_id", F.coalesce("n", F.lit(0)).cast("double").alias("score"))
+    return {
+        "random": scoring.ranked(scoring.random_scores(pairs), digits=9), "popularity": scoring.ranked(pop), "tfidf": text,
+        "bm25": scoring.ranked(scoring.bm25(c.pool_index, doc_query_terms(c), c.n_pool), features.FIRST_STAGE),
+        "net": features.ordered(nets), "net_dated": features.ordered(nets, ~features.precedes(F.col("dd"), F.col("qd"))),
+    }
+
+
+@query
+def all_systems(c):
+    """The first three documents of every system for every query."""
+    return evaluation.all_systems(system_rankings(c), 3)
+
+
+@query
+def system_measures(c):
+    return rounded(evaluation.system_measures(evaluation.all_systems(system_rankings(c)), c.relevant, list(SYSTEMS)))
+
+
+@query
+def ap_from_ranks(c):
+    """Average precision from the places of relevant documents alone."""
+    n = c.relevant.groupBy("qid").agg(F.count("*").alias("n_rel"))
+    ranks = c.relevant.join(text_scores(c), ["qid", "doc_id"]).join(n, "qid").select("qid", "rank", "n_rel")
+    return rounded(evaluation.average_precision_of(ranks))
 
 
 @query
@@ -467,12 +548,36 @@ def leakage_authority(c):
     return out
 
 
+@query
+def leakage_audit(c):
+    """Mean average precision of the net score with each leak and without it: own links and validation links in the
+    authority, citations left in the texts (here: queries of all zones), and documents younger than the query."""
+    q, d = c.doc_queries.select("qid", F.col("date").alias("qd")), c.docs.select("doc_id", F.col("date").alias("dd"))
+    text, near = text_scores(c), vote_rows(c)
+    whole_text = scoring.ranked(scoring.tfidf(c.pool_index, doc_query_terms(c, ZONES), c.n_pool), features.FIRST_STAGE)
+    young = ~features.precedes(F.col("dd"), F.col("qd"))
+    kinds = {
+        "a_clean": ("train", text, ("train",), True, None), "a_own_links": ("train", text, ("train",), False, None),
+        "b_clean": ("val", text, ("train",), True, None), "b_val_links": ("val", text, ("train", "val"), False, None),
+        "c_full_text": ("val", whole_text, ("train",), True, None), "d_dated": ("val", text, ("train",), True, young),
+    }
+    out = None
+    for kind, (split, first, splits, loo, removed) in kinds.items():
+        asked = c.doc_queries.where(F.col("split") == split).select("qid")
+        rows = features.assembled(first.join(asked, "qid", "left_semi"), near, c.edges, c.doc_queries, splits, loo)
+        rows = features.scaled(rows, NAMES).withColumn("net", features.net(features.WEIGHTS)).join(q, "qid").join(d, "doc_id")
+        got = evaluation.measures(features.ordered(rows, removed), c.relevant.join(asked, "qid", "left_semi"), (10,))
+        one = got.agg(F.count("*").alias("n"), F.round(F.avg("ap"), 6).alias("map")).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---- tuning
 
 
 @query
 def bm25_grid(c):
-    grid = tuning.bm25_grid(whole(c), c.query_terms, n_docs(c), (0.9, 1.2, 2.0), (0.25, 0.75))
+    grid = tuning.bm25_grid(c.text_index, c.query_terms, n_docs(c), (0.9, 1.2, 2.0), (0.25, 0.75))
     return rounded(tuning.mean_ap(grid, qrels(c), ["k1", "b"]))
 
 
@@ -489,23 +594,28 @@ def train_rows(c):
     return features.scaled(assembled(c), NAMES).join(rel.select("qid").distinct(), "qid", "left_semi"), rel
 
 
+TRIALS = tuning.weight_trials(NAMES, 20, seeds=[features.WEIGHTS])
+
+
 @query
 def random_search(c):
     rows, rel = train_rows(c)
-    return rounded(tuning.search(rows, rel, tuning.weight_trials(NAMES, 20, seeds=[features.WEIGHTS]), tuning.folds(rel.select("qid").distinct())))
+    return rounded(tuning.search(rows, rel, TRIALS, tuning.folds(rel.select("qid").distinct())))
 
 
 @query
 def nested_cv(c):
     rows, rel = train_rows(c)
-    return rounded(tuning.nested(tuning.search(rows, rel, tuning.weight_trials(NAMES, 20), tuning.folds(rel.select("qid").distinct()))))
+    return rounded(tuning.nested(tuning.search(rows, rel, TRIALS, tuning.folds(rel.select("qid").distinct()))))
+
+
+LADDER = {"text": {"text": 1.0}, "text_neighbour": {"text": 0.5, "neighbour": 0.5}, "all": features.WEIGHTS}
 
 
 @query
 def ablation(c):
     rows, rel = train_rows(c)
-    sets = {"text": {"text": 1.0}, "text_neighbour": {"text": 0.5, "neighbour": 0.5}, "all": features.WEIGHTS}
-    return rounded(tuning.ablation(rows, rel, sets))
+    return rounded(tuning.ablation(rows, rel, LADDER))
 
 
 # ---- crawling
@@ -536,11 +646,16 @@ def content_first_seen(c):
     return crawl.first_seen(c.table("documents").select("doc_id", "text"))
 
 
+@query
+def content_seen(c):
+    """Near-duplicates of documents kept before."""
+    return crawl.content_seen(c.table("documents").select("doc_id", "text"))
+
+
 @query
 def crawl_levels(c):
-    e = c.edges.withColumn("src", F.col("src"))
     seeds = c.docs.where("doc_id < 3").select(F.col("doc_id").alias("page"))
-    return crawl.levels(e, seeds, 3)
+    return crawl.levels(c.edges, seeds, 3)
 
 
 @query
@@ -641,9 +756,75 @@ def stemmed_terms(c):
     return analysis.with_stems(whole(c).select("term").distinct()).groupBy("term").agg(F.count("*").alias("n"))
 
 
+def planted(c):
+    """The documents, each with references to provisions of its own after its text: two sections and an article, written in three ways."""
+    n = F.col("doc_id") % 60 + 100
+    num = lambda x: x.cast("string")
+    ways = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" Sections "), num(n), F.lit(" and "), num(n + 7), F.lit(" of the Indian Penal Code."))).when(
+        F.col("doc_id") % 3 == 1, F.concat(F.lit(" u/s "), num(n), F.lit("(2)(a) Cr.P.C. and "), num(n + 7), F.lit("/34 IPC."))
+    )
+    ways = ways.otherwise(F.concat(F.lit(" Art. "), num(n), F.lit(" with section "), num(n + 7), F.lit(" of the Coastal Boats Act, 1950.")))
+    return c.table("documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), ways).alias("text"))
+
+
 @query
 def statute_references(c):
-    return c.table("documents").select("doc_id", F.explode(statutes.statute_tokens("text")).alias("token"))
+    return planted(c).select("doc_id", F.explode(statutes.statute_tokens("text")).alias("token"))
+
+
+def provisions(c):
+    """A provision for each supplier; the document of the same number gives its text."""
+    p = c.table("supplier").select(F.col("s_suppkey").alias("id")).join(c.table("documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    name = F.concat(F.lit("Section "), (F.col("id") + 99).cast("string"), F.lit(" of The Indian Penal Code, 1860"))
+    return p.select("id", name.alias("provision_name"), F.array("text").alias("text"))
+
+
+def held_provisions(c):
+    noted = F.when(F.col("doc_id") % 4 == 0, F.array((F.col("doc_id") % 50 + 1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return bridge.document_provisions(planted(c).withColumn("statute_ids", noted), provisions(c).withColumn("id", F.col("id").cast("long")))
+
+
+@query
+def document_provisions(c):
+    """Annotated provisions, and those whose token stands in the text."""
+    return held_provisions(c)
+
+
+@query
+def provision_coverage(c):
+    return bridge.coverage(c.docs, held_provisions(c))
+
+
+@query
+def provision_idf(c):
+    return rounded(bridge.provision_idf(held_provisions(c), n_docs(c)))
+
+
+def predicted_provisions(c):
+    """Each benchmark item's ten provisions by BM25 with saturated query terms over the provisions' texts."""
+    texts = bridge.pseudo_documents(provisions(c)).withColumnRenamed("id", "doc_id")
+    post = texts.select("doc_id", F.explode(analysis.terms(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return bridge.predicted(scoring.bm25(post, c.query_terms, texts.count(), query_tf="saturated"), 10)
+
+
+@query
+def provision_predictions(c):
+    return rounded(predicted_provisions(c).withColumnRenamed("doc_id", "id"))
+
+
+@query
+def statute_channel(c):
+    """The bridge as a whole: predicted provisions, the channel they give documents, and text with the channel, ranked."""
+    held = held_provisions(c)
+    channel = bridge.channel(predicted_provisions(c), held, bridge.provision_idf(held, n_docs(c)))
+    return scoring.ranked(scoring.with_channel(text_ranking(c), channel, 0.3), 10)
+
+
+@query
+def provision_recall(c):
+    """Against gold provisions by number: an item needs those of its own number and the next."""
+    gold = c.queries.select("qid", F.explode(F.array(F.col("qid") % 20 + 1, F.col("qid") % 20 + 2)).alias("id"))
+    return rounded(bridge.recall(predicted_provisions(c), gold, 10))
 
 
 # ---- sessions
@@ -670,6 +851,6 @@ def idempotent_saves(c):
 
 @query
 def search_request(c):
-    """A pasted text, ranked by text and authority among documents of some courts."""
+    """A pasted text, ranked by text, votes and authority among documents of some courts."""
     out = search.search(c, "und die thing que ofthe hation onerr", courts=["SC", "HC"], years=(2001, 2015), k=20)
-    return out.select("rank", "doc_id", F.round("score", 6).alias("score"))
+    return out.select("rank", "doc_id", F.round("score", 6).alias("score"), F.coalesce(F.size("reasons"), F.lit(0)).alias("n_reasons"))

@@ -62,12 +62,11 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a parquet pool: paragraphs with their zones, court, date, cited ids."""
     p = spark.read.parquet(path)
-    paras = F.transform(F.arrays_zip("text", "rhetorical_roles"), lambda x: F.struct(zone_of_role(x["rhetorical_roles"]).alias("zone"), x["text"].alias("line")))
     return p.select(
         F.col("id").alias("doc_id"),
         F.coalesce(F.col("case_title").cast("string"), F.lit("")).alias("title"),
         F.array_join("text", "\n").alias("text"),
-        paras.alias("paras"),
+        zoned_paragraphs().alias("paras"),
         court_of(F.col("jurisdiction")).alias("court"),
         parse_date(F.col("date")).alias("date"),
         F.col("relevant_precedent_ids").alias("cites_out"),
@@ -75,6 +74,42 @@ def read_pool(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def zoned_paragraphs() -> Column:
+    """Paragraphs (zone, line) from the columns text and rhetorical_roles."""
+    return F.transform(F.arrays_zip("text", "rhetorical_roles"), lambda x: F.struct(zone_of_role(x["rhetorical_roles"]).alias("zone"), x["text"].alias("line")))
+
+
+def query_texts(docs: DataFrame, view: str = "facts_issues", scrub: bool = True) -> DataFrame:
+    """``docs`` with paras turned into ``text``: facts and issues, or all zones ("full"), citations taken out unless ``scrub`` is off."""
+    from quern.functions import citations
+
+    zones = QUERY_ZONES if view == "facts_issues" else ZONES
+    clean = lambda t: citations.scrub(t)["text"] if scrub else t
+    of = lambda z: F.filter("paras", lambda p: p["zone"] == z)
+    parts = [clean(F.array_join(F.transform(of(z), lambda p: p["line"]), " ")) for z in zones]
+    return docs.withColumn("text", F.array_join(F.filter(F.array(*parts), lambda t: t != ""), " ")).drop("paras")
+
+
+def read_query_file(spark: SparkSession, path: str, split: str, view: str = "facts_issues", scrub: bool = True) -> DataFrame:
+    """Queries of one split's file: (qid, case_id, title, date, split, relevant, text). Their gold statutes are not read."""
+    q = spark.read.parquet(path)
+    rows = q.select(
+        F.col("id").alias("qid"), F.col("id").alias("case_id"), F.coalesce(F.col("case_title").cast("string"), F.lit("")).alias("title"), parse_date(F.col("date")).alias("date"),
+        F.lit("val" if split == "dev" else split).alias("split"), F.array_distinct("relevant_precedent_ids").alias("relevant"), zoned_paragraphs().alias("paras"),
+    )
+    return query_texts(rows, view, scrub)
+
+
+def read_statutes(spark: SparkSession, path: str) -> DataFrame:
+    """(id, provision_name, text) of the table of provisions."""
+    return spark.read.parquet(path).select("id", "provision_name", "text")
+
+
+def read_gold_statutes(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, id): the provisions that queries really need. For evaluation alone; no ranker may see them."""
+    return spark.read.parquet(path).select(F.col("id").alias("qid"), F.explode("relevant_statute_ids").alias("sid")).select("qid", F.col("sid").alias("id")).distinct()
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, para, zone, line) of documents with ``paras``."""
     return docs.select("doc_id", F.posexplode("paras").alias("para", "x")).select("doc_id", "para", "x.zone", "x.line")
@@ -131,6 +166,24 @@ class Corpus:
         """(term, doc_id, tf) of whole texts."""
         return self.postings.where("zone = 'all'").select("term", "doc_id", "tf")
 
+    @cached_property
+    def text_index(self):
+        """Whole texts with frequencies, weights and lengths, as a built index has them."""
+        from quern.operators import scoring
+
+        return scoring.TextIndex(self.whole, lambda table: table.persist())
+
+    @cached_property
+    def pool_index(self):
+        """As ``text_index``, of the pool's documents alone."""
+        from quern.operators import scoring
+
+        return scoring.TextIndex(self.whole.where("doc_id % 5 <> 0"), lambda table: table.persist())
+
+    @cached_property
+    def n_pool(self) -> int:
+        return self.table("documents").where("doc_id % 5 <> 0").count()
+
     @cached_property
     def n_docs(self) -> int:
         return self.table("documents").count()  # from the files' footers
@@ -170,6 +223,33 @@ class Corpus:
         split = F.when(k == 0, "test").when(k == 1, "val").otherwise("train")
         return self.docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("qid"), split.alias("split"), "date", "court")
 
+    def doc_query_terms(self, zones: tuple[str, ...] = QUERY_ZONES) -> DataFrame:
+        """(qid, term, qtf) of the documents that serve as queries, from their facts and issues."""
+        own = self.postings.where("doc_id % 5 = 0").where(F.col("zone").isin(*zones))
+        return own.groupBy(F.col("doc_id").alias("qid"), "term").agg(F.sum("tf").alias("qtf"))
+
+    def case(self, doc_id) -> DataFrame:
+        """One document by its id: a filter that reaches the scan."""
+        return self.docs.where(F.col("doc_id") == doc_id).join(self.table("documents").where(F.col("doc_id") == doc_id).select("doc_id", "text"), "doc_id")
+
+    @cached_property
+    def relevant(self) -> DataFrame:
+        """(qid, doc_id): what the documents that serve as queries cite."""
+        return self.edges.where("src % 5 = 0").select(F.col("src").alias("qid"), F.col("dst").alias("doc_id"))
+
+    def release(self) -> None:
+        """Gives back what was persisted; the next use builds it again."""
+        for name in ("tokens", "postings", "edges"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
+        for name in ("text_index", "pool_index"):
+            index = self.__dict__.pop(name, None)
+            for table in ("df", "weights", "sized"):
+                if index is not None and table in index.__dict__:
+                    index.__dict__[table].unpersist()
+        for name in ("whole", "relevant"):
+            self.__dict__.pop(name, None)
+
     @cached_property
     def pool(self) -> DataFrame:
         return self.docs.where("doc_id % 5 <> 0")
@@ -178,6 +258,6 @@ class Corpus:
     def edges(self) -> DataFrame:
         """Distinct citations (src, dst) to pool documents."""
         n = self.table("documents").agg(F.count("*").alias("n"))
-        e = self.table("lineitem").where("l_linenumber = 1").crossJoin(F.broadcast(n))
+        e = self.table("lineitem").crossJoin(F.broadcast(n))
         e = e.select((F.col("l_orderkey") % F.col("n")).alias("src"), (F.col("l_partkey") % F.col("n")).alias("dst"))
         return e.where("src <> dst and dst % 5 <> 0").distinct().persist()

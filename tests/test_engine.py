@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,8 +145,128 @@ def test_crawl():
     for _, at, p in got:
         assert at - last.get(pages[p], -9) >= 1.0
         last[pages[p]] = at
-    seen = crawl.ContentSeen(0.8)
-    assert seen.add("x", set(range(100))) is None and seen.add("y", set(range(95))) == "x" and seen.add("z", set(range(200, 260))) is None
+
+
+def test_frontier_moves_pages_up_and_bounds_its_hosts():
+    f = crawl.Frontier(3, hosts=2)
+    for page in range(6):
+        f.put(page, f"h{page}", 2)
+    f.put(5, "h5", 0)
+    f.put(5, "h5", 1)
+    got = []
+    while (turn := f.take()) is not None:
+        got.append(turn[2])
+        assert len(f.back) <= 2
+    assert sorted(got) == list(range(6)) and got.index(5) < 3
+
+
+def jaccard_sets(texts, k=4):
+    out = []
+    for t in texts:
+        w = (t or "").lower().split()
+        out.append(frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]))
+    return out
+
+
+@pytest.fixture(scope="module")
+def near_texts():
+    rng = random.Random(4)
+    base = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice((3, 20, 200, 300)))) for _ in range(25)]
+    out = list(base)
+    for _ in range(60):
+        w = rng.choice(out).split()
+        for _ in range(rng.randrange(0, 3)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(9)}"
+        out.append(" ".join(w))
+    return [*out, "", None, base[0].upper()]
+
+
+def test_shingle_pairs_and_content_seen_against_brute_force(spark, near_texts):
+    sets = jaccard_sets(near_texts)
+    df = spark.createDataFrame(list(enumerate(near_texts)), "doc_id long, text string")
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(s, i)
+    close = lambda x, y: bool(x | y) and len(x & y) >= 0.9 * len(x | y) - 1e-9
+    want = {(i, j) for x, i in first.items() for y, j in first.items() if i < j and x and y and close(x, y)}
+    got = {(r["a"], r["b"]): r["jaccard"] for r in crawl.shingle_pairs(df).collect()}
+    assert set(got) == want and len(want) > 20
+    assert all(v == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for (a, b), v in got.items())
+    kept, seen = [], {}
+    for i, s in enumerate(sets):
+        if near_texts[i] is None:
+            seen[i] = None
+            continue
+        seen[i] = next((j for j in kept if sets[j] == s or close(sets[j], s)), None)
+        if seen[i] is None:
+            kept.append(i)
+    assert {r["doc_id"]: r["seen"] for r in crawl.content_seen(df).collect()} == seen
+
+
+def test_tiers_against_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(pruning, "ID_RANGE", 16)
+    rng = random.Random(6)
+    n = {i: rng.choice([0, 0, 0, 1, 2, 9]) for i in range(200)}
+    docs = spark.createDataFrame([(i,) for i in n], "doc_id long")
+    pop = spark.createDataFrame([(i, x) for i, x in n.items() if x], "doc_id long, n long")
+    order = sorted(n, key=lambda i: (-n[i], i))
+    want = {d: 0 if r <= 40 else 1 if r <= 100 else 2 for r, d in enumerate(order, 1)}
+    assert {r["doc_id"]: r["tier"] for r in pruning.tiers(docs, pop).collect()} == want
+
+
+def test_pool_and_query_files(spark, tmp_path):
+    """Files of a pool, queries and provisions: zones, courts, scrubbed texts, both views, gold provisions apart."""
+    schema = "id string, case_title string, date string, jurisdiction string, text array<string>, rhetorical_roles array<string>, relevant_statutes array<string>, relevant_statute_ids array<string>, relevant_precedents array<string>, relevant_precedent_ids array<string>"
+    rows = [("P1", None, "2000-01-02", "Supreme Court of India", ["rain fell", "see AIR 1988 Bom 77", "was it wet", "so it was"], ["Facts", "Facts", "Issue", "Conclusion"], ["x"], ["S1", "S1"], [], ["P2", "P2"])]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "q"))
+    spark.createDataFrame([("S1", "Section 5 of the Limitation Act", ["late"])], "id string, provision_name string, text array<string>").write.parquet(str(tmp_path / "s"))
+    pool = corpus.read_pool(spark, str(tmp_path / "q"))
+    assert [tuple(r) for r in corpus.paragraphs(pool).select("para", "zone").collect()] == [(0, "facts"), (1, "facts"), (2, "issues"), (3, "decision")]
+    assert (pool.first()["court"], pool.first()["title"], pool.first()["statute_ids"]) == ("SC", "", ["S1", "S1"])
+    read = lambda **o: corpus.read_query_file(spark, str(tmp_path / "q"), "dev", **o).first()
+    assert (read()["text"], read()["split"], read()["relevant"]) == ("rain fell see was it wet", "val", ["P2"])
+    assert read(view="full")["text"].endswith("so it was") and "AIR" in read(scrub=False)["text"]
+    assert "statute" not in " ".join(corpus.read_query_file(spark, str(tmp_path / "q"), "train").columns)
+    assert corpus.read_statutes(spark, str(tmp_path / "s")).count() == 1
+    assert [tuple(r) for r in corpus.read_gold_statutes(spark, str(tmp_path / "q")).collect()] == [("P1", "S1")]
+
+
+def test_settings_are_checked():
+    from quern.config import Config
+
+    got = Config.checked({"k1": 2, "cutoffs": [1, 3], "weights": {"text": 0.5}})
+    assert got.k1 == 2.0 and got.cutoffs == (1, 3) and got.weights == {"text": 0.5}
+    for bad in ({"colour": 1}, {"k1": "2"}, {"seed": 1.5}, {"b": float("nan")}, {"weights": {"x": 1.0}}, {"seed": True}, {"rrf_k": -1}):
+        with pytest.raises(ValueError):
+            Config.checked(bad)
+
+
+def test_trace_and_order(search):
+    got = search.trace("(knife OR dowry) AND NOT hostile").orderBy("step").collect()
+    assert [(r["node"], r["docs"]) for r in got] == [("knife", 2), ("dowry", 1), ("(knife OR dowry)", 3), ("hostile", 1), ("NOT hostile", 3), ("((knife OR dowry) AND NOT hostile)", 2)]
+    costs = search.and_costs(["murder knife dowry"]).first()
+    assert (costs["written"], costs["by_size"], costs["docs"]) == (3 + 2 + 2 + 1, 1 + 2 + 0 + 3, 0)
+
+
+def test_title_leaks(spark):
+    queries = spark.createDataFrame([(1, "as in Storm v. Harbour it rained"), (2, "the storm and the harbour"), (3, "nothing")], "qid long, text string")
+    titles = spark.createDataFrame([(9, "Storm v. Harbour")], "doc_id long, title string")
+    edges = spark.createDataFrame([(q, 9) for q in (1, 2, 3)], "src long, dst long")
+    from quern.operators import profiling
+
+    got = {r["qid"]: (r["exact"], r["parties"]) for r in profiling.title_leaks(queries, titles, edges).collect()}
+    assert got == {1: (True, True), 2: (False, True), 3: (False, False)}
+
+
+def test_frozen_and_regularised_weights(spark):
+    rows = spark.createDataFrame([(q, d, float(d == 0), float(d == q % 4), 0.1 * d) for q in range(12) for d in range(4)], "qid long, doc_id long, text double, good double, bad double").persist()
+    rel = spark.createDataFrame([(q, q % 4) for q in range(12)], "qid long, doc_id long")
+    fold = rel.select("qid", (F.col("qid") % 3).cast("int").alias("fold"))
+    trials = [{"text": 1.0, "good": 0.0}, {"text": 0.3, "good": 0.7}]
+    got = tuning.frozen(tuning.search(rows, rel, trials, fold), trials)
+    assert got["weights"] == trials[1] and got["map"] == got["nested_map"] == 1.0 and len(got["fold_map"]) == 3
+    weights, sweeps = tuning.regularised(rows, rel, "text", ["good", "bad"], fold, grid=(0.0, 0.4, 2.0), sweeps=2)
+    assert weights["text"] == 1.0 and weights["good"] == 2.0 and sweeps >= 1
 
 
 def test_sessions(spark):
