@@ -229,6 +229,45 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(empty(df), model).count() == 0
 
 
+def test_toxicity_matching_against_a_naive_scan():
+    rng = random.Random(8)
+    vocabulary = ["idiot", "idiom", "trash", "trashy", "can", "fine", "tra", "scum", "is", "a"]
+    weights = {" idiot ": 3.0, " tra": 2.0, " trash ": 4.0, " scu": 1.5, " scum ": 1.0, " idio": 2.5}
+    exceptions = ("trash can", "a scum")
+    lexicon = toxicity.Lexicon(weights, exceptions)
+    for _ in range(300):
+        text = rng.choice([" ", ", ", "!! "]).join(rng.choice(vocabulary).replace("i", rng.choice("i1İ")) for _ in range(rng.randrange(0, 12)))
+        words_ = toxicity.fold(text).split()
+        safe = {i + k for phrase in exceptions for i in range(len(words_)) for k in range(2) if words_[i : i + 2] == phrase.split()}
+        total = 0.0
+        for i, w in enumerate(words_):
+            best = max((x for p, x in weights.items() if f" {w} ".startswith(p)), default=0.0)
+            total += best * (i not in safe)
+        assert lexicon.read(text) == (pytest.approx(total), len(words_)), text
+
+
+def test_toxicity_folds_compatible_forms_and_accents():
+    assert toxicity.fold("𝐢𝐝𝐢𝐨𝐭 ïdiot ⓘⓓⓘⓞⓣ ＩＤＩＯＴ іdіот") == " idiot idiot idiot idiot idiot "
+
+
+def test_toxicity_learns_exceptions_and_stands_repeated_labels(spark):
+    """A word that is toxic but in one phrase: the phrase is an exception. Repeated label rows change nothing."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(300):
+        t = words(rng, 40) + (" grobian" if i % 3 == 0 else " grobian kiste" if i % 24 == 1 else "")
+        rows.append((i, t, None, None))
+        labels.append((i, int(i % 3 == 0)))
+    df = frame(spark, rows)
+    model = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, model).collect()}
+    assert np.mean([got[i] == int(i % 3 == 0) for i in range(300)]) > 0.97
+    assert any("kiste" in e for e in model.lexicon.exceptions)
+    twice = toxicity.learn(df, spark.createDataFrame(labels * 2, "doc_id long, toxic int"))
+    again = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, twice).collect()}
+    assert again == got
+
+
 # ---- 3
 
 ALPHABETS = {"aa": ["ba", "ko", "lu", "mi"], "bb": ["çé", "ñö", "tü", "ra"], "cc": ["xth", "wq", "zr", "kk"]}
@@ -251,6 +290,30 @@ def test_language(spark):
     assert langid.identify(empty(df), net).count() == 0
 
 
+def test_language_convolution_against_a_plain_one():
+    net = langid.Network(["x", "y", "z"], seed=5)
+    data = np.frombuffer("Ein Satz, né à Köln 12 — und 汉字!".encode() * 20, np.uint8)
+    x, _ = langid.windows(data, np.array([0, len(data)]))
+    got = net.probabilities(x)
+    for row, p in zip(x, got, strict=True):
+        tops = []
+        for w, f in zip(langid.WIDTHS, net.filters, strict=True):
+            values = [sum(net.embed[row[i + j]] @ f[j] for j in range(w)) for i in range(langid.WINDOW - w + 1)]
+            tops.append(np.max(values, axis=0))
+        hidden = np.maximum(np.concatenate(tops) + net.bias, 0)
+        z = np.exp(hidden @ net.out + net.out_bias)
+        assert np.allclose(p, z / z.sum(), atol=1e-5)
+
+
+def test_language_ties_repeated_rows_and_many_languages(spark):
+    """Equal probabilities give the first language; equal rows equal results; no language is left out for being one of many."""
+    net = langid.Network(["b", "a"][::-1])
+    net.out[:] = 0
+    assert net.predict(pa.array(["word", "word", None]))[0] == ["a", "a", "und"]
+    rows = [(i, f"{chr(0x4E00 + i % 260) * 40}", f"l{i % 260:03d}", None) for i in range(520)]
+    assert len(langid.learn(frame(spark, rows)).languages) == 260
+
+
 # ---- 4
 
 
@@ -553,6 +616,28 @@ def test_sharding(docs):
     assert sharding.place(empty(df)).count() == 0
 
 
+def test_lookup_table_against_a_plain_filling():
+    """Whole orders of preference, and turns taken over them."""
+    names, size = sharding.shard_names(7), 101
+    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    orders = [[(number(f"{s}/offset") + j * (number(f"{s}/skip") % (size - 1) + 1)) % size for j in range(size)] for s in names]
+    assert all(sorted(o) == list(range(size)) for o in orders)
+    owner: dict[int, int] = {}
+    while len(owner) < size:
+        for i, order in enumerate(orders):
+            slot = next((s for s in order if s not in owner), None)
+            if slot is not None:
+                owner[slot] = i
+    assert sharding.lookup_table(names, size) == [owner[s] for s in range(size)]
+
+
+def test_sharding_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", "b", "c")], "doc_id long, slot string, shard string, slot_input string")
+    got = sharding.place(df).first()
+    assert (got["slot_input_input"] if "slot_input_input" in got else got["slot_input"]) is not None
+    assert {"a", "b", "c"} <= set(got) and isinstance(got["slot"], int)
+
+
 def test_lookup_table_is_even_and_stable():
     names = sharding.shard_names(20)
     a = sharding.lookup_table(names, 2003)
@@ -759,3 +844,29 @@ def test_pipeline(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert {r["doc_id"] for r in docs.collect()} == set(range(120)) | {203}
+
+
+def test_pipeline_with_nulls_repeats_and_other_columns(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows, ties, clashing columns; and empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    rows = [(i, words(rng, 80, 5000), "en", f"s{i % 3}" if i % 5 else None) for i in range(60)]
+    rows += [rows[4], rows[4], (None, rows[7][1], None, None), (None, None, None, None), (70, "", "en", "s0"), (71, None, None, "s1"), (72, rows[9][1], "en", "s2"), (73, "idiot moron scum " * 5, None, None)]
+    docs = clashing(frame(spark, rows))
+    path = str(tmp_path)
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(None, "too short"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, kept, path)
+        assert kept.columns == docs.columns, name
+    ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
+    # The toxic row, the repeated rows and the copy of greater id are gone; rows without an id or words stay.
+    assert ids == sorted([i for i in range(60)] + [None, None, 70, 71], key=str)
+    out = corpus_pipeline.run(spark, path)
+    assert set(docs.columns) <= set(out.columns) and {r["doc_id"] for r in out.collect()} <= set(ids)
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{path}/empty/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{path}/empty").count() == 0
