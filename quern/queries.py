@@ -804,7 +804,7 @@ def predicted_provisions(c):
     """Each benchmark item's ten provisions by BM25 with saturated query terms over the provisions' texts."""
     texts = bridge.pseudo_documents(provisions(c)).withColumnRenamed("id", "doc_id")
     post = texts.select("doc_id", F.explode(analysis.terms(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return bridge.predicted(scoring.bm25(post, c.query_terms, texts.count(), query_tf="saturated"), 10)
+    return bridge.predicted(scoring.bm25(post, c.query_terms, provisions(c).count(), query_tf="saturated"), 10)
 
 
 @query

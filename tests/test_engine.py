@@ -282,6 +282,8 @@ def test_provisions(spark):
     held = statutes.document_provisions(docs, prov)
     assert sorted((r["doc_id"], r["id"]) for r in held.collect()) == [(1, "p1"), (1, "p2")]
     assert statutes.coverage(docs, held).first()["with_provision"] == 1
+    texts = statutes.pseudo_documents(prov, held, docs.select("doc_id", "text"))
+    assert sorted((r["id"], r["text"]) for r in texts.collect())[0:2] == [("p1", "Section 302 of the Indian Penal Code x"), ("p1", "tried u/s 302 IPC")]
 
 
 def test_coordinate_ascent(spark):
