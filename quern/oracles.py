@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quern.functions.analysis import ENGLISH_STOP, LEGAL_STOP
-from quern.queries import LADDER, MISSPELT, NAMES, TRIALS
+from quern.queries import LADDER, MISSPELT, NAMES, PAIR_ZONES, TRIALS, VIEWS
 from quern.sources.corpus import ZONES
 
 _Q = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
@@ -307,6 +307,28 @@ ORACLES = {
         QUALIFY rank <= 10""",
         _VIEWS,
     ),
+    "stage_features": _sql(
+        "SELECT p.qid, p.doc_id, " + ", ".join(f"round(coalesce(max(CASE WHEN view = '{v}' AND zone = '{z}' THEN score END), 0), 6) AS {v}_{z}" for v in VIEWS for z in PAIR_ZONES)
+        + " FROM ptop p JOIN zpair z ON z.qid = p.qid AND z.doc_id = p.doc_id WHERE p.r <= 10 GROUP BY ALL",
+        FEATURES,
+        _VIEWS.replace("npool AS (SELECT count(*) AS n FROM documents WHERE doc_id % 5 <> 0),", ""),
+    ),
+    "efficiency_study": _sql(
+        """SELECT method, postings, docs, round(map, 6) AS map FROM (
+          SELECT method, count(*) AS postings, count(DISTINCT (qid, doc_id)) AS docs FROM qt JOIN alls USING (term) JOIN cands USING (qid, doc_id) GROUP BY method) JOIN (
+          SELECT method, avg(ap) AS map FROM (SELECT method, qid, sum(coalesce(hit / rank, 0)) / any_value(n_rel) AS ap FROM (
+            SELECT m.method, r.qid, x.rank, n_rel, CASE WHEN x.rank IS NOT NULL THEN row_number() OVER (PARTITION BY m.method, r.qid ORDER BY x.rank NULLS LAST) END AS hit
+            FROM rel r JOIN nrel USING (qid), (SELECT DISTINCT method FROM cands) m LEFT JOIN kept x ON x.method = m.method AND x.qid = r.qid AND x.doc_id = r.doc_id) GROUP BY ALL) GROUP BY method) USING (method)""",
+        RELEVANCE,
+        _CHAMPIONS,
+        _LEADERS,
+        """cands AS (
+  SELECT 'none' AS method, qid, doc_id FROM tfidf UNION ALL SELECT 'champion', * FROM (SELECT DISTINCT qid, champ.doc_id FROM qt JOIN champ USING (term))
+  UNION ALL SELECT 'cluster', qid, fol.doc_id FROM qsim JOIN fol USING (leader)
+  UNION ALL SELECT 'elimination', qid, doc_id FROM (SELECT qid, term, keep, sum(keep) OVER (PARTITION BY qid) AS k FROM (SELECT qid, term, CASE WHEN round(log10(n / df), 9) >= 1 THEN 1 ELSE 0 END AS keep FROM qt JOIN adf USING (term), nd)) JOIN alls USING (term)
+    WHERE keep = 1 OR k = 0 GROUP BY qid, doc_id HAVING count(*) >= CASE WHEN any_value(k) = 0 THEN 1 ELSE least(2, any_value(k)) END),
+kept AS (SELECT method, qid, doc_id, row_number() OVER (PARTITION BY method, qid ORDER BY score DESC, doc_id) AS rank FROM tfidf JOIN cands USING (qid, doc_id) QUALIFY rank <= 100),""",
+    ),
     "popularity": _sql("SELECT doc_id, n FROM pop"),
     "demonstration_ranker": _sql(
         """SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank

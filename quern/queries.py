@@ -227,13 +227,17 @@ def doc_query_terms(c, zones=FI):
     return c.doc_query_terms(zones)
 
 
-def zone_pair_rows(c):
+def zone_views(c):
     views = None
     for name, zones in (("facts", ("facts",)), ("issues", ("issues",)), ("fi", FI)):
         part = doc_query_terms(c, zones).withColumn("view", F.lit(name))
         views = part if views is None else views.unionByName(part)
+    return views
+
+
+def zone_pair_rows(c):
     post = c.postings.where("doc_id % 5 <> 0")
-    return scoring.zone_pairs(post.where(F.col("zone").isin(*PAIR_ZONES)), views, c.n_pool, VIEWS, PAIR_ZONES)
+    return scoring.zone_pairs(post.where(F.col("zone").isin(*PAIR_ZONES)), zone_views(c), c.n_pool, VIEWS, PAIR_ZONES)
 
 
 @query
@@ -251,6 +255,14 @@ def zonepair_score(c):
     return scoring.ranked(scoring.zone_pair_score(zone_pair_rows(c), PAIR_WEIGHTS), 10)
 
 
+@query
+def stage_features(c):
+    """All zone-pair cosines of the ten best documents of each query's first stage."""
+    post = c.postings.where("doc_id % 5 <> 0").where(F.col("zone").isin(*PAIR_ZONES))
+    best = text_scores(c).where("rank <= 10").select("qid", "doc_id")
+    return rounded(scoring.zone_pairs(post, zone_views(c), c.n_pool, VIEWS, PAIR_ZONES, among=best))
+
+
 @query
 def popularity(c):
     return scoring.popularity(c.edges)
@@ -489,6 +501,25 @@ def micro_averages(c):
     return rounded(evaluation.micro(text_ranking(c), qrels(c)))
 
 
+@query
+def efficiency_study(c):
+    """What each way of pruning reads of all queries' postings and documents, and the mean average precision that it keeps."""
+    terms, post = c.query_terms, whole(c)
+    q = scoring.query_weights(terms, c.text_index.df, n_docs(c))
+    ways = {
+        "none": None, "champion": pruning.champion_candidates(c.text_index.weights, terms, 10), "elimination": pruning.elimination(post, terms, n_docs(c), 1.0, 2),
+        "cluster": pruning.cluster_candidates(q, c.text_index.weights, leaders(c), 2),
+    }
+    out = None
+    for name, cand in ways.items():
+        read = pruning.work(post, terms, cand).agg(F.sum("postings").alias("postings"), F.sum("docs").alias("docs"))
+        ranking = scoring.ranked(scoring.tfidf(c.text_index, terms, n_docs(c), among=cand), FIRST_STAGE)
+        kept = evaluation.measures(ranking, qrels(c), (10,)).agg(F.round(F.avg("ap"), 6).alias("map"))
+        one = read.crossJoin(F.broadcast(kept)).select(F.lit(name).alias("method"), "postings", "docs", "map")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def bootstrap_ci(c):
     a = evaluation.measures(text_ranking(c), qrels(c)).select("qid", F.col("ap").alias("x"))

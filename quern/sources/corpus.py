@@ -126,6 +126,13 @@ def write_results(df: DataFrame, path: str, form: str = "json") -> None:
     w.option("header", True).csv(path) if form == "csv" else w.json(path)
 
 
+def read_results(spark: SparkSession, folder: str, name: str, allowed: tuple[str, ...]) -> DataFrame:
+    """A saved result table by its name, if that is one of ``allowed``: no other path is opened."""
+    if name not in allowed:
+        raise KeyError(f"no result named {name!r}")
+    return spark.read.json(f"{folder}/{name}")
+
+
 class Corpus:
     """Tables of one folder as the retrieval model; frames are built when asked for.
 

@@ -231,6 +231,13 @@ def test_pool_and_query_files(spark, tmp_path):
     assert [tuple(r) for r in corpus.read_gold_statutes(spark, str(tmp_path / "q")).collect()] == [("P1", "S1")]
 
 
+def test_results_are_read_by_allowed_names(spark, tmp_path):
+    corpus.write_results(spark.createDataFrame([(1, 0.5)], "qid long, ap double"), f"{tmp_path}/measures")
+    assert corpus.read_results(spark, str(tmp_path), "measures", ("measures",)).first()["ap"] == 0.5
+    with pytest.raises(KeyError):
+        corpus.read_results(spark, str(tmp_path), "../measures", ("measures",))
+
+
 def test_settings_are_checked():
     from quern.config import Config
 
