@@ -237,13 +237,16 @@ def units(texts: DataFrame, short: list[str], long: list[str]) -> DataFrame:
 
 
 def matches(scratch: Scratch, texts: DataFrame) -> DataFrame:
-    """(rid, b, l, i, score, n): the units of ``texts(rid, text)`` with a license, the number of their template, and their words."""
+    """(rid, b, l, i, score, n, total): the units of ``texts(rid, text)`` with a license, the number of their template, their words and those of their text.
+
+    Equal texts share ``rid`` and count as one: their words come several times, which changes no cosine.
+    """
     spark = scratch.spark
     idf, other = inverse_frequencies(texts)
     vecs = vectors(idf)
     short, long = keys(vecs, idf), keys(vecs, idf, LONG)
     holds = F.arrays_overlap(split_words(F.col("text")), F.array(*map(F.lit, short)))
-    some = scratch.save(texts.where(holds).dropDuplicates(["rid"]))
+    some = scratch.save(texts.where(holds))
     found = units(some, short, long)
     unit = ("rid", "b", "l")
     words = found.select(*unit, F.explode(split_words(F.col("unit"))).alias("w")).groupBy(*unit, "w").agg(F.count("*").alias("tf"))
@@ -254,7 +257,10 @@ def matches(scratch: Scratch, texts: DataFrame) -> DataFrame:
     dots = words.join(tables, "w").groupBy(*unit, "i").agg(F.sum(F.col("u") * F.col("x")).alias("dot"), F.count("*").alias("shared")).where(F.col("shared") >= MIN_SHARED)
     near = dots.join(norms, [*unit]).select(*unit, "i", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= MIN_COSINE)
     best = near.groupBy(*unit).agg(F.max(F.struct("score", (-F.col("i")).alias("i"))).alias("m")).select(*unit, (-F.col("m.i")).alias("i"), "m.score")
-    return scratch.save(best.join(found, [*unit]).select(*unit, "i", "score", F.regexp_count("unit", F.lit(WORD)).cast("long").alias("n")))
+    sizes = found.select(*unit, F.regexp_count("unit", F.lit(WORD)).cast("long").alias("n"))
+    total = some.select("rid", F.regexp_count("text", F.lit(WORD)).cast("long").alias("total"))
+    one = lambda rows, by, value: rows.groupBy(*by).agg(F.max(value).alias(value))
+    return scratch.save(best.join(one(sizes, unit, "n"), [*unit]).join(one(total, ("rid",), "total"), "rid").select(*unit, "i", "score", "n", "total"))
 
 
 def own_licenses(scratch: Scratch, texts: DataFrame) -> DataFrame:
@@ -264,9 +270,8 @@ def own_licenses(scratch: Scratch, texts: DataFrame) -> DataFrame:
     first = F.max(F.struct("score", (-F.col("b")).alias("b"), (-F.col("l")).alias("l"), (-F.col("i")).alias("i"))).alias("m")
     # A block's words count once: its own if it has a license, or those of its lines.
     held = found.where("b >= 0").groupBy("rid", "b").agg(F.coalesce(F.max(F.when(F.col("l") < 0, F.col("n"))), F.sum("n")).alias("n")).groupBy("rid").agg(F.sum("n").alias("held"))
-    top = found.groupBy("rid").agg(first, F.count("*").alias("n_matches"), F.max(F.col("b") < 0).alias("whole"))
-    total = texts.select("rid", F.regexp_count("text", F.lit(WORD)).alias("total")).join(top.select("rid"), "rid").distinct()
-    return top.join(held, "rid", "left").join(total, "rid").select(
+    top = found.groupBy("rid").agg(first, F.count("*").alias("n_matches"), F.max(F.col("b") < 0).alias("whole"), F.max("total").alias("total"))
+    return top.join(held, "rid", "left").select(
         "rid",
         F.element_at(names, (F.lit(1) - F.col("m.i")).cast("int")).alias("own_license"),
         F.col("m.score").alias("score"),
@@ -287,7 +292,7 @@ def scan(files: DataFrame, key: str = "doc_id", path: Column | None = None) -> D
     scratch = Scratch(files.sparkSession, "licenses")
     rows = files.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text"), (F.col("path") if path is None else path).alias("path"))
     texts = rows.select(F.xxhash64("text").alias("rid"), "text")
-    own = scratch.save(own_licenses(scratch, texts))
+    own = own_licenses(scratch, texts)
     rows = rows.select("key", "path", directory(F.col("path")).alias("dir"), F.xxhash64("text").alias("rid")).join(own, "rid", "left").drop("rid")
     rows = scratch.save(rows.withColumn("n_matches", F.coalesce("n_matches", F.lit(0).cast("long"))).withColumn("is_license_file", F.coalesce("is_license_file", F.lit(False))))
     given = rows.where("is_license_file and dir is not null").groupBy(F.col("dir").alias("above")).agg(F.min(F.struct("path", "own_license")).alias("g"))
