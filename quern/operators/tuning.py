@@ -31,7 +31,11 @@ def bm25_grid(post: DataFrame | scoring.TextIndex, terms: DataFrame, n_docs: int
 def mean_ap(scores: DataFrame, qrels: DataFrame, by: list[str]) -> DataFrame:
     """(…by, map) of scores with parameter columns."""
     w = Window.partitionBy(*by, "qid").orderBy(F.desc(F.round("score", 6)), "doc_id")
-    hits = scores.withColumn("rank", F.row_number().over(w)).join(qrels, ["qid", "doc_id"])
+    return mean_ap_of(scores.withColumn("rank", F.row_number().over(w)).join(qrels, ["qid", "doc_id"]), qrels, by)
+
+
+def mean_ap_of(hits: DataFrame, qrels: DataFrame, by: list[str]) -> DataFrame:
+    """(…by, map) of the ranks (…by, qid, doc_id, rank) of relevant documents alone."""
     hits = hits.withColumn("i", F.row_number().over(Window.partitionBy(*by, "qid").orderBy("rank")))
     ap = hits.groupBy(*by, "qid").agg(F.sum(F.col("i") / F.col("rank")).alias("s"))
     n = qrels.groupBy("qid").agg(F.count("*").alias("n_rel"))
@@ -64,7 +68,41 @@ def search(rows: DataFrame, qrels: DataFrame, trials: list[dict[str, float]], by
     score = sum((F.col(n) * F.col(f"w_{n}") for n in names[1:]), F.col(names[0]) * F.col(f"w_{names[0]}"))
     scored = rows.crossJoin(F.broadcast(table)).select("trial", "qid", "doc_id", score.alias("score"))
     w = Window.partitionBy("trial", "qid").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    hits = scored.withColumn("rank", F.row_number().over(w)).join(qrels, ["qid", "doc_id"])
+    return searched(scored.withColumn("rank", F.row_number().over(w)).join(qrels, ["qid", "doc_id"]), qrels, len(trials), by_fold)
+
+
+def trial_places(rows: DataFrame, trials: list[dict[str, float]], digits: int = 9) -> DataFrame:
+    """(trial, qid, doc_id, rank) of the cited documents of ``rows(qid, doc_id, cites, …)`` under every trial: a query's rows
+    are ranked where they stand, and none is copied for a trial."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .blocks import _rounded
+
+    names = list(trials[0])
+
+    def rank(table):
+        docs, cited = table.column("doc_id").to_numpy(), table.column("cites").to_numpy().astype(bool)
+        columns, out = [table.column(n).to_numpy() for n in names], []
+        for t in trials if cited.any() else ():
+            score = columns[0] * t[names[0]]
+            for x, n in zip(columns[1:], names[1:], strict=True):
+                score = score + x * t[n]
+            by = np.lexsort((docs, -_rounded(score, digits)))
+            out.append(np.flatnonzero(cited[by]) + 1)
+            out.append(docs[by][cited[by]])
+        n = int(cited.sum()) if out else 0
+        ranks, found = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (out[::2], out[1::2]))
+        qid = table.column("qid")[0].as_py()
+        columns = [np.repeat(np.arange(len(trials), dtype=np.int32), n), np.full(len(ranks), qid, np.int64), found, ranks.astype(np.int32)]
+        return pa.table([pa.array(c) for c in columns], names=["trial", "qid", "doc_id", "rank"])
+
+    return rows.select("qid", "doc_id", "cites", *names).groupBy("qid").applyInArrow(rank, "trial int, qid bigint, doc_id bigint, rank int")
+
+
+def searched(hits: DataFrame, qrels: DataFrame, n_trials: int, by_fold: DataFrame) -> DataFrame:
+    """As :func:`search`, from the ranks (trial, qid, doc_id, rank) of relevant documents alone."""
+    table = hits.sparkSession.createDataFrame([(i,) for i in range(n_trials)], "trial int")
     hits = hits.withColumn("i", F.row_number().over(Window.partitionBy("trial", "qid").orderBy("rank")))
     ap = hits.groupBy("trial", "qid").agg(F.sum(F.col("i") / F.col("rank")).alias("s"))
     n_rel = qrels.groupBy("qid").agg(F.count("*").alias("n_rel")).join(by_fold, "qid")
